@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch. Texts can be long, so batches are small; operators gather them up to a byte bound.
 BATCH_ROWS = 500
@@ -26,6 +27,21 @@ def picked(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*(F.col(c) for c in columns))
 
 
+#: Columns of documents; others travel as one struct, so that no name of theirs can clash with an operator's.
+DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def bundled(docs: DataFrame) -> DataFrame:
+    own = [c for c in DOCUMENT if c in docs.columns]
+    rest = [c for c in docs.columns if c not in own]
+    return docs.select(*own, F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest")) if rest else docs
+
+
+def unbundled(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` in their order."""
+    return df.select(*(F.col(c) if c in DOCUMENT else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns))
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -49,7 +65,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
         yield pa.Table.from_batches(held)
 
 
-def by_block(df: DataFrame, f: Callable[[pa.Table], pa.Table | pa.RecordBatch], schema: str, text: str = "text", size: int = BLOCK_BYTES) -> DataFrame:
+def by_block(df: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str | StructType, text: str = "text", size: int = BLOCK_BYTES) -> DataFrame:
     """mapInArrow over blocks of bounded text size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from webstrata.llm.common import by_block, picked, ragged, texts_of
+from webstrata.llm.common import bundled, by_block, picked, ragged, texts_of, unbundled
 from webstrata.sources.tables import materialise, table
 
 WINDOW = 8
@@ -170,8 +171,8 @@ def benchmark_blocks(benchmark: DataFrame, size: int = BENCHMARK_BLOCK) -> list[
 def found(docs: DataFrame, benchmark: DataFrame, keep: list[str], block: int = BENCHMARK_BLOCK) -> DataFrame:
     """The kept columns with n_words, n_hit, items (sorted as strings), longest: one row a document."""
     names = [*keep, "n_words", "runs", "items", "longest"]
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(keep).schema]
-    schema = ", ".join([*kept, "n_words long", "runs array<long>", "items array<string>", "longest long"])
+    found_fields = [StructField("n_words", LongType()), StructField("runs", ArrayType(LongType())), StructField("items", ArrayType(StringType())), StructField("longest", LongType())]
+    schema = StructType([*(docs.schema[k] for k in keep), *found_fields])
 
     def one_pass(source: DataFrame, rows: list[tuple]) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(rows)  # of at most `block` bytes of text
@@ -194,7 +195,8 @@ def found(docs: DataFrame, benchmark: DataFrame, keep: list[str], block: int = B
         out = one_pass(source, parts[0])
     else:
         keyed = materialise(source.withColumn("_row", F.monotonically_increasing_id()), "decontam")
-        keep, names, schema = [*keep, "_row"], [*keep, "_row", *names[len(keep):]], schema.replace("n_words long", "_row long, n_words long", 1)
+        schema = StructType([*(docs.schema[k] for k in keep), StructField("_row", LongType()), *found_fields])
+        keep, names = [*keep, "_row"], [*keep, "_row", *names[len(keep) :]]
         every = None
         for rows in parts:
             one = one_pass(keyed, rows)
@@ -234,8 +236,8 @@ def op9(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated."""
-    cols = list(docs.columns)
-    return found(docs, table(spark, sf_dir, "benchmark"), cols).where(F.size("items") < LEAST_ITEMS).select(*cols)
+    rows = bundled(docs)
+    return unbundled(found(rows, table(spark, sf_dir, "benchmark"), rows.columns).where(F.size("items") < LEAST_ITEMS), docs)
 
 
 def items_digest(items: list[str]) -> str:

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import picked
+from webstrata.llm.common import bundled, picked, unbundled
 from webstrata.sources.tables import materialise
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -253,12 +253,10 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by marks, n_chars counted anew. The classifier learns in a first scan."""
-    cols = list(docs.columns)
-    accepted_from = materialise(scanned(docs, []).where(F.size("loose") > 0), "pii")
-    rows = decided(scanned(docs, cols), accepted_from)
-    text = redacted(F.col("text"), F.col("spans"))
-    out = rows.withColumn("text", text)
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*cols)
-
+    learn_from = materialise(scanned(docs, []).where(F.size("loose") > 0), "pii")
+    source = bundled(docs)
+    rows = decided(scanned(source, source.columns), learn_from)
+    out = rows.withColumn("text", redacted(F.col("text"), F.col("spans")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return unbundled(out, docs)

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from webstrata.llm.common import by_block, mix, picked, texts_of
+from webstrata.llm.common import bundled, by_block, mix, picked, texts_of, unbundled
 from webstrata.sources.tables import materialise
 
 WINDOW = 5
@@ -81,7 +82,7 @@ def counts_of(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def document_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns (not the text) with COUNTS."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(keep).schema), *(f"{c} long" for c in COUNTS)])
+    schema = StructType([*(docs.schema[k] for k in keep), *(StructField(c, LongType()) for c in COUNTS)])
 
     def run(block: pa.Table) -> pa.Table:
         c = counts_of(texts_of(block.column("text")))
@@ -177,5 +178,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass. Texts stay whole in the scan: each row's verdict is found beside it, not by a join on ids."""
     sketch = sketches(document_counts(docs, ["lang", "source"]))
     table = materialise(fences(sketch), "fences")
-    cols = [c for c in docs.columns]
-    return judged(document_counts(docs, cols), table).where("kept").select(*cols)
+    rows = bundled(docs)
+    return unbundled(judged(document_counts(rows, rows.columns), table).where("kept"), docs)

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import classifier, decontam, extraction, neardup, packing, pii, quality, quotes, sharding
+from webstrata.llm import classifier, decontam, extraction, lm, neardup, packing, pii, quality, quotes, sharding
 from webstrata.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
+    "op1_katz_backoff": lambda s, d: lm.op1(s, table(s, d, "documents")),
     "op2_probminhash": lambda s, d: neardup.op2(s, table(s, d, "documents")),
     "op3_quality_rules": lambda s, d: quality.op3(s, table(s, d, "documents")),
     "op4_virtual_slots": lambda s, d: sharding.op4(s, table(s, d, "documents")),
