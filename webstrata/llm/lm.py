@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from webstrata.llm.common import BLOCK_BYTES, blocks, mix, picked, remainder, texts_of
-from webstrata.sources.tables import materialise
+from webstrata.sources.tables import discard, materialise
 
 FOLDS, HELD_OUT = 5, 1
 TOP = 5
@@ -113,7 +113,7 @@ def blocked(docs: DataFrame) -> DataFrame:
     rows = picked(docs, "doc_id", "text").withColumn("train", remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 24
+        part = TaskContext.get().partitionId() << 12  # a task has fewer than 4096 blocks, a block fewer than 2 ** 23 words
         for k, t in enumerate(blocks(batches, size=BLOCK_BYTES)):
             words: dict[bytes, int] = {}
             number, tokens, lengths = words.setdefault, [], []
@@ -162,8 +162,9 @@ def part_table(kind: int, rows: int, **columns) -> pa.Table:
 def sent(uni: Unigrams, buckets: int, row: dict) -> Iterator[tuple[int, pa.Table]]:
     """What a block sends: (bucket, rows). Documents' own figures go along to any bucket."""
     lengths = np.array(row["lengths"], np.int64)
-    numbers = np.full(len(row["words"]), uni.size, np.int64)
-    numbers[np.array(row["at"], np.int64)] = row["number"]
+    numbers = np.full(row["size"], uni.size, np.int64)
+    told = np.array(row["told"], np.int64)
+    numbers[told >> 40] = told & ((1 << 40) - 1)
     w = numbers[unsqueezed(row["tokens"], 1)[0]]
     first = np.cumsum(lengths) - lengths
     h = np.empty_like(w)
@@ -264,8 +265,8 @@ class Model:
 def fitted(docs: DataFrame, keep_model: bool = True, bucket_tokens: int = BUCKET_TOKENS) -> Model:
     spark = docs.sparkSession
     block_rows = materialise(blocked(docs), "lm-blocks")
-    entries = block_rows.select("block", F.explode(F.arrays_zip("words", "counts")).alias("e")).select("block", F.col("e.words").alias("word"), F.col("e.counts").alias("c"))
-    words = materialise(numbered(entries.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")), "lm-words")
+    entries = block_rows.select(F.explode(F.arrays_zip("words", "counts")).alias("e")).select(F.col("e.words").alias("word"), F.col("e.counts").alias("c"))
+    words = materialise(numbered(entries.where("c > 0").groupBy("word").agg(F.sum("c").alias("c"))), "lm-words")
     # Distinct counts: at most sqrt(2 N) rows.
     levels = sorted(((r["c"], r["count"]) for r in words.groupBy("c").count().collect()), reverse=True)
     figures = block_rows.select(
@@ -273,11 +274,13 @@ def fitted(docs: DataFrame, keep_model: bool = True, bucket_tokens: int = BUCKET
     ).first()
     uni = Unigrams(np.array([c for c, _ in levels], np.int64), np.cumsum([n for _, n in levels], dtype=np.int64), figures["docs"] or 0)
     buckets = max(1, -(-(figures["tokens"] or 0) // bucket_tokens))
+    # A word's place in its block goes with the block's number in one long, then with the word's own.
     asked = block_rows.select("block", F.posexplode("words").alias("at", "word"))
-    told = asked.join(words.select("word", "number"), "word").groupBy("block").agg(F.collect_list(F.struct("at", "number")).alias("e"))
-    full = block_rows.drop("ids", "counts").join(told, "block", "left")
-    none = F.array().cast("array<long>")
-    full = full.select("block", "train", "lengths", "tokens", "words", F.coalesce(F.col("e.at").cast("array<long>"), none).alias("at"), F.coalesce("e.number", none).alias("number"))
+    asked = asked.select((F.shiftleft("block", 24) + F.col("at")).alias("place"), "word").join(words.select("word", "number"), "word")
+    told = asked.select(F.shiftright("place", 24).alias("block"), (F.shiftleft(F.col("place").bitwiseAND((1 << 24) - 1), 40) + F.col("number")).alias("e"))
+    told = materialise(told.groupBy("block").agg(F.collect_list("e").alias("told")), "lm-told")
+    full = block_rows.select("block", "train", "lengths", "tokens", F.size("words").alias("size")).join(told, "block", "left")
+    full = full.withColumn("told", F.coalesce("told", F.array().cast("array<long>")))
     shared = spark.sparkContext.broadcast(uni)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,6 +294,9 @@ def fitted(docs: DataFrame, keep_model: bool = True, bucket_tokens: int = BUCKET
         return pa.concat_tables(counted(shared.value, buckets, t.drop_columns("bucket"), keep_model))
 
     parts = materialise(full.mapInArrow(send, PART + ", bucket long").groupBy("bucket").applyInArrow(count, PART), "lm-parts")
+    ids = materialise(block_rows.select("block", "ids", "train"), "lm-ids")
+    discard(block_rows)
+    discard(told)
     n = np.zeros(TOP + 2)
     for r in parts.where(F.col("kind") == COUNTS).select("x").toLocalIterator():  # one row a bucket
         n[1:] += r["x"]
@@ -298,7 +304,7 @@ def fitted(docs: DataFrame, keep_model: bool = True, bucket_tokens: int = BUCKET
     held = sum((F.sum(F.col("x")[k - 1]) * float(k * (1 - d[k])) for k in range(1, TOP + 1)), F.lit(1.0))
     alpha = (held / (F.max("n") + 1.0)) / (1.0 - F.sum("s"))
     weights = parts.where(F.col("kind") == HISTORY).groupBy("h").agg(F.log10(alpha).alias("log_alpha"))
-    return Model(words, parts, weights, block_rows, uni, d)
+    return Model(words, parts, weights, ids, uni, d)
 
 
 def scored(model: Model) -> DataFrame:
