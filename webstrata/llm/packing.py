@@ -35,7 +35,10 @@ SLACK = 64
 #: Partitions whose leftovers are merged by one task.
 GROUP = 32
 #: Chunks a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+#: Chunks encoded as one text, and what stands between them: a character that is a token of its own between spaces.
+TOGETHER = 2000
+MARK = b"\0"
 
 
 class Encoder:
@@ -55,14 +58,26 @@ class Encoder:
         self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, chunks: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        ids = [e.ids for e in got]
-        lengths = np.array([len(x) for x in ids], np.int64)
-        for c in chunks:
+        """Many chunks are encoded as one text, with a mark between them that is one id; chunks that hold it go alone."""
+        plain = [c for c in chunks if MARK not in c]
+        other = [c for c in chunks if MARK in c]
+        mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids[0]
+        flat = [np.zeros(0, np.uint32)]
+        for k in range(0, len(plain), TOGETHER):
+            text = (b" " + MARK + b" ").join(plain[k : k + TOGETHER]).decode()
+            flat.append(np.array([*self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, mark], np.uint32))
+        for c in other:
+            flat.append(np.array([*self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, mark], np.uint32))
+        ids = np.concatenate(flat)
+        ends = np.flatnonzero(ids == mark)
+        if other:
+            ends = np.concatenate([ends[: len(plain)], sum(map(len, flat[: len(flat) - len(other)])) + np.cumsum([len(x) for x in flat[len(flat) - len(other) :]]) - 1])
+        starts = np.append(0, ends[:-1] + 1) if len(ends) else ends
+        for c in (*plain, *other):
             self.known[c] = len(self.known)
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.array([x for y in ids for x in y], np.uint32)])
+        self.starts = np.concatenate([self.starts, len(self.ids) + starts])
+        self.lengths = np.concatenate([self.lengths, ends - starts])
+        self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text with the end id."""
@@ -78,6 +93,16 @@ class Encoder:
         return out
 
 
+#: One for each file and worker process: what a task has learned serves the next.
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(file: str) -> Encoder:
+    if file not in _encoders:
+        _encoders[file] = Encoder(file)
+    return _encoders[file]
+
+
 class Packer:
     """Open windows by free space. Emits (sequence, offset) for each piece; sequences are numbered from `first`."""
 
@@ -125,7 +150,7 @@ def packed(docs: DataFrame, tokenizer: str, keep: str = "doc_id", with_ids: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder, packer = Encoder(tokenizer), Packer(part << 32)
+        encoder, packer = encoder_of(tokenizer), Packer(part << 32)
         waiting: dict[int, list[tuple]] = {}  # pieces of open windows
 
         def table(rows: list[tuple], left: bool) -> Iterator[pa.RecordBatch]:
