@@ -59,14 +59,19 @@ ACCEPT = 0.9
 MARK = {k: f"<{k.upper()}>" for k in KINDS}
 
 
-def matches(text: Column, pattern: str, need: str) -> Column:
-    """array<struct<s, e, m>> of all matches, leftmost and non-overlapping, found from the gaps between them."""
+def matches(text: Column, pattern: str, need: str, test=lambda m: F.lit(True)) -> Column:
+    """array<struct<s, e, m>> of the matches that pass, leftmost and non-overlapping, found from the gaps between all.
+
+    Only what passes is appended: texts can hold very many numbers that don't."""
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
     step = lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(
         F.struct(
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + F.length(x["m"])).alias("e"), x["m"].alias("m")))).alias("out"),
+            F.when(
+                test(x["m"]),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + F.length(x["m"])).alias("e"), x["m"].alias("m")))),
+            ).otherwise(acc["out"]).alias("out"),
             (acc["at"] + x["g"] + F.length(x["m"])).alias("at"),
         )
     )
@@ -95,8 +100,8 @@ def passes(kind: str, m: Column) -> Column:
 
 
 def strict_spans(text: Column) -> dict[str, Column]:
-    test = lambda k: lambda x: passes(k, x["m"])
-    return {k: F.filter(matches(text, STRICT[k], NEEDS[k]), test(k)) for k in KINDS}
+    test = lambda k: lambda m: passes(k, m)
+    return {k: matches(text, STRICT[k], NEEDS[k], test(k)) for k in KINDS}
 
 
 def loose_spans(text: Column, strict: dict[str, Column]) -> Column:
