@@ -124,9 +124,8 @@ def test_lm_against_brute_force_and_normalised(spark):
         assert (got[k].n_tokens, got[k].n_known, got[k].held_out) == (len(words), sum(w in uni for w in words), k not in train)
 
 
-def test_neardup_against_brute_force(spark):
-    df, docs = docs_of(spark)
-    got = {r.doc_id: r.class_id for r in neardup.op2(spark, df).collect()}
+def brute_classes(docs):
+    """The least id of each class, from the similarities of all pairs."""
     sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := low(t).encode().split()) else set() for k, t in docs}
     head = {k: k for k in sets}
 
@@ -141,7 +140,27 @@ def test_neardup_against_brute_force(spark):
             if sets[a] and (n := len(sets[a] & sets[b])) and n >= 0.8 * (len(sets[a] | sets[b])) - 1e-9:
                 x, y = sorted((find(a), find(b)))
                 head[y] = x
-    assert got == {k: find(k) for k in sets}
+    return {k: find(k) for k in sets}
+
+
+def test_neardup_against_brute_force(spark):
+    df, docs = docs_of(spark)
+    assert {r.doc_id: r.class_id for r in neardup.op2(spark, df).collect()} == brute_classes(docs)
+
+
+def test_neardup_crowded_buckets(spark):
+    """Pairs of near copies among many texts that are similar to all others, but not enough."""
+    rng = np.random.default_rng(5)
+    passage, docs = [f"p{i}" for i in range(60)], []
+    for i in range(70):
+        own = [f"q{i}w{j}" for j in range(int(rng.integers(8, 16)))]
+        docs.append((2 * i, " ".join(passage + own)))
+        if i % 7 == 0:
+            docs.append((2 * i + 1, " ".join([*passage, *own[:-1], "other"])))
+    want = brute_classes(docs)
+    assert len(set(want.values())) > 50
+    df = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in docs], SCHEMA)
+    assert {r.doc_id: r.class_id for r in neardup.op2(spark, df).collect()} == want
 
 
 def test_probminhash_estimates_probability_jaccard():

@@ -5,8 +5,10 @@ random components of the signature; a shingle stops as soon as its next arrival
 component. Two signatures agree in a component with the probability Jaccard of the weighted sets. BANDS of
 ROWS components make bucket keys. In a bucket, every text is paired with the bucket's least and greatest
 text, so pairs grow with its size and not with its square. A pair is a link if the exact Jaccard similarity of
-the shingle sets is 0.8 or more. Where a bucket still holds texts of different classes, its texts are
-joined again by prefix filtering: two sets that similar share one of their rarest shingles. Linked texts form classes.
+the shingle sets is 0.8 or more. Linked texts form classes. Where a bucket still holds texts of different classes, its
+texts are joined again by prefix filtering: two sets that similar share one of their rarest shingles. Rounds compare
+more and more of such a group's texts with the others of it, until no two of different classes are left that sizes and
+places of shingles don't already tell apart. So no two texts in a common bucket that are similar enough end in different classes.
 
 Defined cases: copies of a text share its class without being compared; texts of one to four words are one
 shingle; null and blank texts are alone in a class of their own id; texts whose
@@ -31,6 +33,10 @@ ROWS, BANDS = 6, 40
 SIZE = ROWS * BANDS
 #: Node lists of so many rows (8 bytes each) may be broadcast to filter a scan; longer ones are joined by shuffle.
 BROADCAST_NODES = 1_000_000
+#: A round compares about so many texts of each group with the others of it, the next one so many times more.
+GROWTH = 8
+#: Parts of a group that are joined by tasks of their own.
+SALTS = 8
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(WORDS)]
@@ -182,9 +188,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def prefixes(texts: DataFrame) -> DataFrame:
-    """(key, node): for each text its rarest shingles, as many as no set similar enough can all miss.
+    """(key, node, size, left): for each text its rarest shingles, as many as no set similar enough can all miss.
+
+    Rarity is the number of the given texts with the shingle, counted beforehand by hash. size: the text's shingles; left:
+    those of them, from this one to the most frequent, that other texts have as well."""
 
-    Rarity is the number of the given texts with the shingle, counted beforehand by hash."""
     def run(t: pa.Table) -> pa.Table:
         doc, shingle, _ = shingles(texts_of(t.column("text")))
         return pa.table([pa.array(np.asarray(t.column("node"))[doc]), pa.array(shingle.view(np.int64))], names=["node", "key"])
@@ -196,7 +204,43 @@ def prefixes(texts: DataFrame) -> DataFrame:
     shared = every.join(counts, "key")
     listed = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("s")).join(sizes, "node")
     take = F.col("size") - F.ceil(F.lit(SIMILARITY) * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("s"))
-    return listed.select("node", F.explode(F.slice("s", F.lit(1), F.greatest(take, F.lit(0)).cast("int"))).alias("x")).select("x.key", "node")
+    first = F.posexplode(F.slice("s", F.lit(1), F.greatest(take, F.lit(0)).cast("int"))).alias("at", "x")
+    listed = listed.select("node", "size", F.size("s").alias("shared"), first)
+    return listed.select("x.key", "node", "size", (F.col("shared") - F.col("at")).alias("left"))
+
+
+def compared(texts: DataFrame, edges: DataFrame, labels: DataFrame, tried: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links and labels, completed by all links between texts of different classes.
+
+    Each text has a random place in [0, 1). A round takes a group's texts below a bound that fits the group's size, and
+    pairs them with its texts of other classes beyond the bound before; when the bound has passed 1, nothing is left."""
+    groups = materialise(prefixes(texts), "prefixes")
+    groups = groups.join(groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    groups = materialise(groups.withColumn("place", F.xxhash64("node") / F.lit(2.0**64) + 0.5), "groups")
+    reach = 1
+    while True:
+        classed = groups.where(F.col("n") > reach).join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        mixed = classed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("key")
+        rest = materialise(classed.join(mixed, "key", "left_semi"), "mixed")
+        if not rest.limit(1).count():
+            return edges, labels
+        done = F.lit(0.0) if reach == 1 else F.lit(float(reach)) / F.col("n")
+        rest = rest.where(F.col("place") >= done).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)))
+        reach *= GROWTH
+        now = rest.where(F.col("place") < F.lit(float(reach)) / F.col("n")).select(
+            "key", F.col("node").alias("rep"), F.col("size").alias("rsize"), F.col("left").alias("rleft"), F.col("class").alias("rclass"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"),
+        )
+        # In the group of their rarest common shingle, two texts have no more in common than follows it in either.
+        enough = F.least("left", "rleft") * (1 + SIMILARITY) >= SIMILARITY * (F.col("size") + F.col("rsize")) - 1e-6
+        found = rest.join(now, ["key", "salt"]).where((F.col("class") != F.col("rclass")) & enough)
+        pairs = found.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
+        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = materialise(verified(pairs, texts), "links")
+        tried = tried.unionByName(pairs)
+        if more.limit(1).count():
+            edges = edges.unionByName(more)
+            labels = components(edges)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -216,11 +260,7 @@ def classes(docs: DataFrame) -> DataFrame:
     mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y")).where("n > 2 and x < y").select("key")
     open_nodes = materialise(named.join(mixed, "key", "left_semi").select("node").distinct(), "open")
     if open_nodes.limit(1).count():
-        again = paired(prefixes(texts.join(open_nodes, "node", "left_semi"))).join(pairs, ["a", "b"], "left_anti")
-        more = materialise(verified(materialise(again, "pairs"), texts), "links")
-        if more.limit(1).count():
-            edges = edges.unionByName(more)
-            labels = components(edges)
+        edges, labels = compared(texts.join(open_nodes, "node", "left_semi"), edges, labels, pairs)
     links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     named = nodes.select("node", "doc_id").join(labels, "node", "left").join(links, "node", "left")
     named = named.select("node", "doc_id", F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
