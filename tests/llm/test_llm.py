@@ -272,6 +272,13 @@ def test_decontamination_against_brute_force(spark, block):
         assert (got[k].n_words, got[k].n_hit, got[k].items) == (len(w), len(hit), sorted(map(str, found)))
 
 
+def test_decontamination_stage_removes_every_leak(spark):
+    docs = table(spark, SF, "documents")
+    items = {r.doc_id: r.n_items for r in decontam.op9(spark, docs, table(spark, SF, "benchmark")).collect()}
+    left = {r.doc_id for r in decontam.stage(spark, docs, SF).select("doc_id").collect()}
+    assert left == {k for k, n in items.items() if n == 0} and len(left) < len(items)
+
+
 def test_longest_match_extends_beyond_the_window():
     b = decontam.prepared([(1, " ".join(f"w{i}" for i in range(20)))])
     text = "x y " + " ".join(f"w{i}" for i in range(3, 17)) + " z"

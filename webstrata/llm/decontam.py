@@ -27,6 +27,8 @@ from webstrata.sources.tables import materialise, table
 WINDOW = 8
 #: A document with windows of so many items is contaminated.
 LEAST_ITEMS = 2
+#: The stage removes documents with windows of so many items: a passage of one item is enough to leak it.
+STAGE_LEAST = 1
 #: Bytes of benchmark text sent to the executors at once; a larger benchmark is searched in several passes.
 BENCHMARK_BLOCK = 16 << 20
 
@@ -235,9 +237,9 @@ def op9(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated."""
+    """Documents without a passage of the benchmark."""
     rows = bundled(docs)
-    return unbundled(found(rows, table(spark, sf_dir, "benchmark"), rows.columns).where(F.size("items") < LEAST_ITEMS), docs)
+    return unbundled(found(rows, table(spark, sf_dir, "benchmark"), rows.columns).where(F.size("items") < STAGE_LEAST), docs)
 
 
 def items_digest(items: list[str]) -> str:
