@@ -279,6 +279,14 @@ def test_decontamination_stage_removes_every_leak(spark):
     assert left == {k for k, n in items.items() if n == 0} and len(left) < len(items)
 
 
+def test_decontamination_stage_keeps_common_phrases(spark, tmp_path):
+    items = [(1, "one two three four five six seven eight nine"), (2, "cat"), (3, "the dog")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(1, "a cat sat"), (2, "x two three four five six seven eight nine y"), (3, "two three four five six seven eight"), (4, "a cat and the dog"), (5, None)]
+    df = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in docs], SCHEMA)
+    assert {r.doc_id for r in decontam.stage(spark, df, str(tmp_path)).collect()} == {1, 3, 5}
+
+
 def test_longest_match_extends_beyond_the_window():
     b = decontam.prepared([(1, " ".join(f"w{i}" for i in range(20)))])
     text = "x y " + " ".join(f"w{i}" for i in range(3, 17)) + " z"

@@ -27,8 +27,6 @@ from webstrata.sources.tables import materialise, table
 WINDOW = 8
 #: A document with windows of so many items is contaminated.
 LEAST_ITEMS = 2
-#: The stage removes documents with windows of so many items: a passage of one item is enough to leak it.
-STAGE_LEAST = 1
 #: Bytes of benchmark text sent to the executors at once; a larger benchmark is searched in several passes.
 BENCHMARK_BLOCK = 16 << 20
 
@@ -237,9 +235,11 @@ def op9(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark: a full window of one item is enough to leak it. Items shorter than a
+    window can be common phrases, so a document goes for them only if it holds LEAST_ITEMS."""
     rows = bundled(docs)
-    return unbundled(found(rows, table(spark, sf_dir, "benchmark"), rows.columns).where(F.size("items") < STAGE_LEAST), docs)
+    leaked = (F.col("longest") >= WINDOW) | (F.size("items") >= LEAST_ITEMS)
+    return unbundled(found(rows, table(spark, sf_dir, "benchmark"), rows.columns).where(~leaked), docs)
 
 
 def items_digest(items: list[str]) -> str:
