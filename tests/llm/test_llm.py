@@ -314,6 +314,23 @@ def test_extraction(spark):
     assert all(got[10 + k] == f"Story {k} here\nMore {k}" for k in range(4))
 
 
+def extracted_texts(spark, pages):
+    rows = [(k, f"http://c/{k}", p) for k, p in enumerate(pages)]
+    return [r.text for r in extraction.op5(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_extraction_counts_all_pages(spark):
+    """Text that varies on a few pages only, or is the same on part of them, stays; notices of a rare page type go."""
+    page = "<div id=by>{}</div><div id=post>{}</div>"
+    pages = [PAGE.format(k, page.format("By Ann", f"<p>Story {k}</p>")) for k in range(60)]
+    pages += [PAGE.format(k, page.format("By Bob", f"plain {k}")) for k in range(60, 75)]
+    pages += [PAGE.format(k, f"<table><tr><td>Print view</td></tr></table><div id=post><p>Story {k}</p></div>") for k in range(75, 80)]
+    got = extracted_texts(spark, pages)
+    assert got[:60] == [f"By Ann\nStory {k}" for k in range(60)]
+    assert got[60:75] == [f"By Bob\nplain {k}" for k in range(60, 75)]
+    assert got[75:] == [f"Story {k}" for k in range(75, 80)]
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Hello there!\nHow are you?"), (1, 1, "assistant", "On Monday, X wrote:\n> how are   you\nFine."), (1, 2, "user", "> Fine.\n>> How are you?\nGood"),

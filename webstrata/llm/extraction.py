@@ -1,12 +1,12 @@
 """Main text of web pages by wrapper induction.
 
-Pages become trees of elements. For every host a wrapper is learned: the trees of a few of its pages (SAMPLE with
-different content, chosen by hash) are aligned by simple tree matching, runs of like siblings taken as one node;
-a node with the same text on all of them belongs to the template, one whose text varies is a slot. Each page of
-the host is then aligned with the wrapper the same way. Content is what stands in slots and what the wrapper hasn't
-seen, but for parts whose element or name says what they are (menus, adverts, forms and the like). If a
-page marks its article or main part, content is sought there alone, and repeated text in it is kept: pages of a
-host can be copies of each other.
+Pages become trees of elements, runs of like siblings taken as one node. For every host a wrapper is learned: the
+trees of all its pages, aligned by simple tree matching and united. Then each page is aligned with its host's wrapper,
+and all pages' texts are counted by the wrapper's node they stand in. A text that is the same on SHARE of the pages with the node
+(LEAST_PAGES at least; pages of the same content count once) belongs to the template, other texts of the node are in a slot.
+Content is what the template doesn't have at that node, but for parts whose element or name says what they are (menus,
+adverts, forms and the like). If a page marks its article or main part, content is sought there alone, and repeated
+text in it is kept: pages of a host can be copies of each other.
 
 Defined cases: null html is empty and gives empty text; a host with one page has no template; a page whose url
 has no host belongs to host ''; repeated pages are extracted each; an empty table gives no rows.
@@ -17,18 +17,23 @@ from __future__ import annotations
 import html as _html
 import json
 import re
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.llm.common import by_block, picked
 from webstrata.sources.tables import materialise
 
-SAMPLE = 6
-#: Pages of a host that a text must be the same on before it counts as template.
+#: Pages of a host with different content that a text must be the same on before it counts as template, and their share of
+#: the pages with its node.
 LEAST_PAGES = 3
+SHARE = 0.9
+#: A host's shapes are united in so many parts by tasks of their own, then the parts.
+PARTS = 64
 #: Wrappers of so many hosts are broadcast; more are joined by shuffle.
 BROADCAST_HOSTS = 2_000
 
@@ -52,7 +57,7 @@ _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}
 
 
 class Node:
-    __slots__ = ("tag", "name", "kids", "texts")
+    __slots__ = ("tag", "name", "kids", "texts", "shape")
 
     def __init__(self, tag: str, name: str) -> None:
         self.tag, self.name = tag, name
@@ -125,27 +130,20 @@ def runs(node: Node) -> list[tuple[str, list[Node]]]:
     return out
 
 
-def own_text(node: Node) -> str:
-    return clean("".join(s for _, s in node.texts))
+# A shape: (sign, shape) of every run of like children, in order. A host's wrapper is a shape.
 
 
-# A template node: {"s": sign, "t": own text or null where it varies, "n": pages with it, "k": children}.
-
-
-def as_template(node: Node, sign: str) -> dict:
-    return {"s": sign, "t": own_text(node), "n": 1, "k": [as_template(group[0], s) | ({"t": None} if len(group) > 1 else {}) for s, group in runs(node)]}
-
-
-def aligned(template: list[dict], groups: list[tuple[str, list[Node]]]) -> list[tuple[int, int]]:
-    """Simple tree matching of two child lists: pairs of an order-preserving match with most matching nodes."""
-    n, m = len(template), len(groups)
+@lru_cache(20_000)
+def matching(a: tuple, b: tuple) -> tuple[int, tuple]:
+    """Simple tree matching of two shapes: the nodes of an order-preserving match with most of them, and its pairs at the top."""
+    if not a or not b:
+        return 0, ()
+    n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
-    gain = [[0] * m for _ in range(n)]
     for i in range(n):
         for j in range(m):
-            if template[i]["s"] == groups[j][0]:
-                gain[i][j] = 1 + size_of_match(template[i]["k"], runs(groups[j][1][0]))
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + gain[i][j])
+            gain = 1 + matching(a[i][1], b[j][1])[0] if a[i][0] == b[j][0] else 0
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + gain)
     pairs, i, j = [], n, m
     while i and j:
         if best[i][j] == best[i - 1][j]:
@@ -155,57 +153,41 @@ def aligned(template: list[dict], groups: list[tuple[str, list[Node]]]) -> list[
         else:
             i, j = i - 1, j - 1
             pairs.append((i, j))
-    return pairs[::-1]
-
-
-def size_of_match(template: list[dict], groups: list[tuple[str, list[Node]]]) -> int:
-    if not template or not groups:
-        return 0
-    row = [0] * (len(groups) + 1)
-    for t in template:
-        diagonal = 0
-        for j, (s, nodes) in enumerate(groups, 1):
-            w = diagonal + (1 + size_of_match(t["k"], runs(nodes[0])) if t["s"] == s else 0)
-            diagonal, row[j] = row[j], max(row[j], row[j - 1], w)
-    return row[-1]
-
-
-def merge(template: dict, node: Node) -> None:
-    """Take one more page into a wrapper."""
-    template["n"] += 1
-    if template["t"] != own_text(node):
-        template["t"] = None
-    groups = runs(node)
-    pairs = aligned(template["k"], groups)
-    for i, j in pairs:
-        nodes = groups[j][1]
-        merge(template["k"][i], nodes[0])
-        if len(nodes) > 1:
-            template["k"][i]["t"] = None
-    taken = {j: i for i, j in pairs}
-    kids, before = list(template["k"]), 0
-    for j, (s, nodes) in enumerate(groups):
-        if j in taken:
-            before = kids.index(template["k"][taken[j]]) + 1
-        else:
-            kids.insert(before, as_template(nodes[0], s))
-            before += 1
-    template["k"] = kids
-
-
-def wrapper(pages: list[str]) -> dict | None:
-    """Wrapper of a host's pages with different content; None if there are too few."""
-    trees = {}
-    for p in pages:
-        tree = parse(p)
-        trees.setdefault(tuple(content(tree, None)), tree)
-    if len(trees) < LEAST_PAGES:
-        return None
-    first, *rest = trees.values()
-    template = as_template(first, first.sign())
-    for t in rest:
-        merge(template, t)
-    return template
+    return best[n][m], tuple(pairs[::-1])
+
+
+def united(a: tuple, b: tuple) -> tuple:
+    """A shape with all nodes of both; matching ones are one."""
+    if a == b or not b:
+        return a
+    out, i, j = [], 0, 0
+    for x, y in (*matching(a, b)[1], (len(a), len(b))):
+        out += a[i:x] + b[j:y]
+        if x < len(a):
+            out.append((a[x][0], united(a[x][1], b[y][1])))
+        i, j = x + 1, y + 1
+    return tuple(out)
+
+
+def shaped(node: Node) -> tuple:
+    """The shape of a node, also noted at it and below."""
+    out = []
+    for s, nodes in runs(node):
+        kids: tuple = ()
+        for x in nodes:
+            kids = united(kids, shaped(x))
+        out.append((s, kids))
+    node.shape = tuple(out)
+    return node.shape
+
+
+def as_shape(x: list) -> tuple:
+    """A shape from what JSON made of it."""
+    return tuple((s, as_shape(kids)) for s, kids in x)
+
+
+def number(s: str) -> int:
+    return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
 def find_article(node: Node) -> list[Node]:
@@ -221,29 +203,22 @@ def is_other(node: Node) -> bool:
     return node.tag in OTHER or node.tag in SILENT or bool(node.name and node.tag not in ("html", "body", "article", "main") and NAMES.search(node.name))
 
 
-def content(tree: Node, template: dict | None) -> list[str]:
-    """Blocks of a page in order."""
-    out: list[str] = []
-    main = [x for x in find_article(tree) if x.kids or x.texts]
-    for part in main or [tree]:
-        _collect(part, None if main else template, out, bool(main))
-    return out
-
-
-def _collect(node: Node, template: dict | None, out: list[str], inside: bool) -> None:
-    if is_other(node) and not (inside and node.tag in ("article", "main")):
+def blocks(node: Node, wrapper: tuple, path: str, out: list[tuple[str, str, bool]], present: set[str], inside: bool = False) -> None:
+    """Adds (path of the wrapper's node, text, whether in an article or main part) of a page's blocks in order, but for named
+    parts; present gets the paths of all nodes. The path is empty where the wrapper has no such node."""
+    if is_other(node):
         return
-    constant = not inside and template is not None and template["n"] >= LEAST_PAGES and template["t"] is not None
-    of: dict[int, dict] = {}
-    if template is not None:
-        groups = runs(node)
-        for i, j in aligned(template["k"], groups):
-            of.update((id(x), template["k"][i]) for x in groups[j][1])
+    inside = inside or node.tag in ("article", "main")
+    present.add(path)
+    of: dict[int, int] = {}
+    groups = runs(node)
+    for i, j in matching(wrapper, node.shape)[1]:
+        of.update((id(x), i) for x in groups[j][1])
     text, at = [], 0
 
     def flush() -> None:
-        if (s := clean("".join(text))) and not constant:
-            out.append(s)
+        if s := clean("".join(text)):
+            out.append((path, s, inside))
         text.clear()
 
     for k, kid in enumerate(node.kids):
@@ -251,44 +226,96 @@ def _collect(node: Node, template: dict | None, out: list[str], inside: bool) ->
             text.append(node.texts[at][1])
             at += 1
         flush()
-        _collect(kid, of.get(id(kid)), out, inside)
+        i = of.get(id(kid))
+        blocks(kid, *((), "") if i is None else (wrapper[i][1], f"{path}.{i}"), out, present, inside)
     text += [s for _, s in node.texts[at:]]
     flush()
 
 
+def read(page: str, wrapper: tuple) -> tuple[Node, list[tuple[str, str, bool]], set[str]]:
+    """A page's tree, its blocks and the nodes of the wrapper on it."""
+    tree, out, present = parse(page), [], set()
+    shaped(tree)
+    blocks(tree, wrapper, "0", out, present)
+    return tree, out, present - {""}
+
+
+def content(page: str, wrapper: tuple, constant: set[tuple[int, int]]) -> list[str]:
+    """Blocks of a page's main text in order. constant: (node, text) of the template, as numbers."""
+    tree, found, _ = read(page, wrapper)
+    if any(x.kids or x.texts for x in find_article(tree)):
+        return [s for _, s, inside in found if inside]
+    return [s for path, s, _ in found if (number(path), number(s)) not in constant]
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON). Only the pages with the least hashes leave the scan: at most SAMPLE a host and task."""
-    ranked = pages.withColumn("_r", F.row_number().over(Window.partitionBy("host").orderBy("h", "page_id"))).where(F.col("_r") <= SAMPLE)
+    """(host, wrapper as JSON): the shapes of all pages of a host united, those of a part of them first."""
+
+    def shapes(t: pa.Table) -> pa.Table:
+        each = {(h, json.dumps(shaped(parse(x)))): None for h, x in zip(t.column("host").to_pylist(), t.column("html").to_pylist(), strict=True)}
+        return pa.table([pa.array([h for h, _ in each], pa.string()), pa.array([w for _, w in each], pa.string())], names=["host", "wrapper"])
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = wrapper(list(pdf.sort_values(["h", "page_id"])["html"]))
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(w) if w else None]})
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        every: tuple = ()
+        for w in sorted(pdf["wrapper"], key=lambda w: (-len(w), w)):
+            every = united(every, as_shape(json.loads(w)))
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(every)]})
 
-    return ranked.groupBy("host").applyInPandas(learn, "host string, wrapper string").where("wrapper is not null")
+    found = by_block(pages.select("host", "html"), shapes, "host string, wrapper string", text="html", size=2 << 20).distinct()
+    parts = found.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS))).groupBy("host", "part").applyInPandas(unite, "host string, wrapper string")
+    return parts.groupBy("host").applyInPandas(unite, "host string, wrapper string")
+
+
+def with_wrappers(rows: DataFrame, learned: DataFrame) -> DataFrame:
+    small = learned.count() <= BROADCAST_HOSTS
+    return rows.join(F.broadcast(learned) if small else learned, "host", "left")
+
+
+def templates(rows: DataFrame, learned: DataFrame) -> DataFrame:
+    """(host, constant): (node, text) numbers of the texts that are the same on nearly all pages with their node. Pages count once
+    for each different content."""
+
+    def run(t: pa.Table) -> pa.Table:
+        known: dict[str, tuple] = {}
+        out: set[tuple] = set()
+        for h, w, page in zip(t.column("host").to_pylist(), t.column("wrapper").to_pylist(), t.column("html").to_pylist(), strict=True):
+            if w not in known:
+                known[w] = as_shape(json.loads(w))
+            _, found, present = read(page, known[w])
+            sign = number("\n".join(s for _, s, _ in found))
+            out.update((h, number(path), None, sign) for path in present)
+            out.update((h, number(path), number(s), sign) for path, s, _ in found if path)
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["host", "node", "text", "sign"])
+
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    each = by_block(with_wrappers(rows, learned).select("host", "wrapper", "html"), run, "host string, node long, text long, sign long", text="html", size=2 << 20)
+    counts = each.distinct().groupBy("host", "node", "text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    counts = materialise(counts, "counts")
+    pages = counts.where("text is null").select("host", "node", F.col("n").alias("pages"))
+    same = counts.where("text is not null").join(pages, ["host", "node"]).where(F.col("n") >= SHARE * F.col("pages"))
+    return same.groupBy("host").agg(F.collect_list(F.struct("node", "text")).alias("constant"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page."""
     host = F.lower(F.regexp_extract("url", r"^[^:/?#]+://(?:[^/?#@]*@)?([^/?#]*)", 1))
     rows = picked(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce(host, F.lit("")).alias("host"))
-    learned = materialise(wrappers(rows.select("page_id", "host", "html", F.xxhash64("html").alias("h"))), "wrappers")
-    small = learned.count() <= BROADCAST_HOSTS
-    joined = rows.join(F.broadcast(learned) if small else learned, "host", "left")
+    learned = materialise(wrappers(rows), "wrappers")
+    learned = materialise(learned.join(templates(rows, learned), "host", "left"), "templates")
     kind = pages.schema["page_id"].dataType.simpleString()
-    known: dict[str, dict] = {}
 
     def run(t: pa.Table) -> pa.Table:
+        known: dict[str, tuple] = {}
         out = []
-        for h, w in zip(t.column("html").to_pylist(), t.column("wrapper").to_pylist(), strict=True):
-            template = None
-            if w is not None:
-                if len(known) > 1000:
-                    known.clear()
-                template = known.get(w) or known.setdefault(w, json.loads(w))
-            out.append("\n".join(content(parse(h), template)))
+        for i, (host, page) in enumerate(zip(t.column("host").to_pylist(), t.column("html").to_pylist(), strict=True)):
+            if host not in known:
+                same = t.column("constant")[i].as_py() or []
+                known[host] = as_shape(json.loads(t.column("wrapper")[i].as_py())), {(x["node"], x["text"]) for x in same}
+            out.append("\n".join(content(page, *known[host])))
         return pa.table([t.column("page_id"), t.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
-    return by_block(joined.select("page_id", "url", "html", "wrapper"), run, f"page_id {kind}, url string, text string", text="html", size=2 << 20)
+    joined = with_wrappers(rows, learned).select("page_id", "url", "host", "html", "wrapper", "constant")
+    return by_block(joined, run, f"page_id {kind}, url string, text string", text="html", size=2 << 20)
 
 
 def op5(spark: SparkSession, pages: DataFrame) -> DataFrame:
