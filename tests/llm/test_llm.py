@@ -331,6 +331,17 @@ def test_extraction_counts_all_pages(spark):
     assert got[75:] == [f"Story {k}" for k in range(75, 80)]
 
 
+def test_extraction_aligns_article_pages(spark):
+    """Teaser cards don't stand for the story beside them; a notice without a name goes from articles too."""
+    cards = "<article><p>Teaser {0}</p></article><article><p>Card {0}</p></article>"
+    pages = [PAGE.format(k, f"<div id=post><p>A long story of number {k} here</p></div>{cards.format(k)}") for k in range(5)]
+    one = [PAGE.format(k, f"<div id=post><p>A long story of number {k} here</p></div><article><p>Teaser {k}</p></article>") for k in range(5, 8)]
+    marked = [PAGE.format(k, f"<div><p>by {k}</p></div><article><p>Story {k} told here</p><p>All rights reserved</p></article>") for k in range(8, 100)]
+    got = extracted_texts(spark, pages + one + marked)
+    assert all(f"A long story of number {k} here" in t.split("\n") for k, t in enumerate(got[:8]))
+    assert got[8:] == [f"Story {k} told here" for k in range(8, 100)]
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Hello there!\nHow are you?"), (1, 1, "assistant", "On Monday, X wrote:\n> how are   you\nFine."), (1, 2, "user", "> Fine.\n>> How are you?\nGood"),

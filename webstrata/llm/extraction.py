@@ -5,8 +5,8 @@ trees of all its pages, aligned by simple tree matching and united. Then each pa
 and all pages' texts are counted by the wrapper's node they stand in. A text that is the same on SHARE of the pages with the node
 (LEAST_PAGES at least; pages of the same content count once) belongs to the template, other texts of the node are in a slot.
 Content is what the template doesn't have at that node, but for parts whose element or name says what they are (menus,
-adverts, forms and the like). If a page marks its article or main part, content is sought there alone, and repeated
-text in it is kept: pages of a host can be copies of each other.
+adverts, forms and the like). Article and main marks are a hint among slots: a page's only marked part is taken alone if it has
+half of the page's text in slots at least.
 
 Defined cases: null html is empty and gives empty text; a host with one page has no template; a page whose url
 has no host belongs to host ''; repeated pages are extracted each; an empty table gives no rows.
@@ -203,12 +203,13 @@ def is_other(node: Node) -> bool:
     return node.tag in OTHER or node.tag in SILENT or bool(node.name and node.tag not in ("html", "body", "article", "main") and NAMES.search(node.name))
 
 
-def blocks(node: Node, wrapper: tuple, path: str, out: list[tuple[str, str, bool]], present: set[str], inside: bool = False) -> None:
-    """Adds (path of the wrapper's node, text, whether in an article or main part) of a page's blocks in order, but for named
+def blocks(node: Node, wrapper: tuple, path: str, out: list[tuple[str, str, Node | None]], present: set[str], part: Node | None = None) -> None:
+    """Adds (path of the wrapper's node, text, outermost article or main part around it) of a page's blocks in order, but for named
     parts; present gets the paths of all nodes. The path is empty where the wrapper has no such node."""
     if is_other(node):
         return
-    inside = inside or node.tag in ("article", "main")
+    if part is None and node.tag in ("article", "main"):
+        part = node
     present.add(path)
     of: dict[int, int] = {}
     groups = runs(node)
@@ -218,7 +219,7 @@ def blocks(node: Node, wrapper: tuple, path: str, out: list[tuple[str, str, bool
 
     def flush() -> None:
         if s := clean("".join(text)):
-            out.append((path, s, inside))
+            out.append((path, s, part))
         text.clear()
 
     for k, kid in enumerate(node.kids):
@@ -227,12 +228,12 @@ def blocks(node: Node, wrapper: tuple, path: str, out: list[tuple[str, str, bool
             at += 1
         flush()
         i = of.get(id(kid))
-        blocks(kid, *((), "") if i is None else (wrapper[i][1], f"{path}.{i}"), out, present, inside)
+        blocks(kid, *((), "") if i is None else (wrapper[i][1], f"{path}.{i}"), out, present, part)
     text += [s for _, s in node.texts[at:]]
     flush()
 
 
-def read(page: str, wrapper: tuple) -> tuple[Node, list[tuple[str, str, bool]], set[str]]:
+def read(page: str, wrapper: tuple) -> tuple[Node, list[tuple[str, str, Node | None]], set[str]]:
     """A page's tree, its blocks and the nodes of the wrapper on it."""
     tree, out, present = parse(page), [], set()
     shaped(tree)
@@ -241,11 +242,18 @@ def read(page: str, wrapper: tuple) -> tuple[Node, list[tuple[str, str, bool]],
 
 
 def content(page: str, wrapper: tuple, constant: set[tuple[int, int]]) -> list[str]:
-    """Blocks of a page's main text in order. constant: (node, text) of the template, as numbers."""
+    """Blocks of a page's main text in order. constant: (node, text) of the template, as numbers. If one article or main part
+    has half of the text at least that is not template, it is the main text; else all such text is."""
     tree, found, _ = read(page, wrapper)
-    if any(x.kids or x.texts for x in find_article(tree)):
-        return [s for _, s, inside in found if inside]
-    return [s for path, s, _ in found if (number(path), number(s)) not in constant]
+    left = [(s, part) for path, s, part in found if (number(path), number(s)) not in constant]
+    marked = [x for x in find_article(tree) if x.kids or x.texts]
+    mains = [x for x in marked if x.tag == "main"]
+    if len(marked) == 1 or len(mains) == 1:
+        mark = (mains if len(mains) == 1 else marked)[0]
+        inside = [s for s, part in left if part is mark]
+        if inside and 2 * sum(map(len, inside)) >= sum(len(s) for s, _ in left):
+            return inside
+    return [s for s, _ in left]
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
