@@ -163,6 +163,18 @@ def test_neardup_crowded_buckets(spark):
     assert {r.doc_id: r.class_id for r in neardup.op2(spark, df).collect()} == want
 
 
+def test_neardup_with_repeated_passages(spark):
+    """Sets are similar, but one text repeats a passage many times."""
+    docs = []
+    for k in range(12):
+        words, phrase = [f"t{k}w{i}" for i in range(200)], [f"t{k}p{i}" for i in range(30 + k % 2 * 10)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + phrase * 200))]
+    want = brute_classes(docs)
+    assert set(want.values()) == set(range(0, 24, 2))
+    df = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in docs], SCHEMA)
+    assert {r.doc_id: r.class_id for r in neardup.op2(spark, df).collect()} == want
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(3)
     common_part, size = rng.integers(0, 1 << 63, 60).astype(np.uint64), 1200

@@ -1,8 +1,8 @@
 """Near duplicates by ProbMinHash.
 
-Shingles of five lower-cased words are weighted by 1 + ln(count). Each shingle is a stream of exponential arrivals at
+Shingles of five lower-cased words have equal weights, however often a text repeats them, as links are defined by sets. Each shingle is a stream of exponential arrivals at
 random components of the signature; a shingle stops as soon as its next arrival can't be the first of any
-component. Two signatures agree in a component with the probability Jaccard of the weighted sets. BANDS of
+component. Two signatures agree in a component with the probability Jaccard of the sets, which at equal weights is their Jaccard similarity. BANDS of
 ROWS components make bucket keys. In a bucket, every text is paired with the bucket's least and greatest
 text, so pairs grow with its size and not with its square. A pair is a link if the exact Jaccard similarity of
 the shingle sets is 0.8 or more. Linked texts form classes. Where a bucket still holds texts of different classes, its
@@ -119,10 +119,10 @@ def sketched(docs: DataFrame) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         texts = texts_of(t.column("text"))
-        doc, shingle, count = shingles(texts)
+        doc, shingle, _ = shingles(texts)
         has = np.zeros(len(texts), bool)
         has[doc] = True
-        keys = band_keys(signatures(doc, shingle, 1 + np.log(count), len(texts)) if len(doc) else np.zeros((len(texts), SIZE), np.uint64))
+        keys = band_keys(signatures(doc, shingle, np.ones(len(doc)), len(texts)) if len(doc) else np.zeros((len(texts), SIZE), np.uint64))
         hashed = np.array([xxhash.xxh64_intdigest(x, seed=42) for x in texts], np.uint64).view(np.int64)
         node = pa.array(hashed, mask=~has)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
