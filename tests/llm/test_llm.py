@@ -175,6 +175,15 @@ def test_neardup_with_repeated_passages(spark):
     assert {r.doc_id: r.class_id for r in neardup.op2(spark, df).collect()} == want
 
 
+def test_neardup_stage_with_missing_and_shared_ids(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = [(1, one), (2, one), (2, two), (None, one), (None, three), (None, three + " more"), (None, three)]
+    df = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in docs], SCHEMA)
+    left = [(r.doc_id, r.text) for r in neardup.stage(spark, df, SF).collect()]
+    assert (1, one) in left and (2, two) in left and len(left) == 3
+    assert {t for k, t in left if k is None} < {three, three + " more"}
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(3)
     common_part, size = rng.integers(0, 1 << 63, 60).astype(np.uint64), 1200

@@ -11,8 +11,8 @@ more and more of such a group's texts with the others of it, until no two of dif
 places of shingles don't already tell apart. So no two texts in a common bucket that are similar enough end in different classes.
 
 Defined cases: copies of a text share its class without being compared; texts of one to four words are one
-shingle; null and blank texts are alone in a class of their own id; texts whose
-rows all lack an id are linked to their copies alone, in a class without a name; repeated rows are copies; empty tables
+shingle; null and blank texts are alone in a class of their own id; texts
+without an id are linked like others, in a class without a name if no row of it has one; repeated rows are copies; empty tables
 give no rows. A class is named by its least doc_id.
 """
 
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import by_block, mix, picked, ragged, texts_of
+from webstrata.llm.common import bundled, by_block, mix, picked, ragged, texts_of, unbundled
 from webstrata.sources.tables import discard, materialise
 
 WORDS = 5
@@ -135,7 +135,8 @@ def texts_for(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of the given (node, doc_id). Few nodes filter the scan; many join it by shuffle."""
     small = nodes.count() <= BROADCAST_NODES
     rows = picked(docs, "doc_id", "text").withColumn("node", F.xxhash64("text"))
-    found = rows.join(F.broadcast(nodes) if small else nodes, ["doc_id", "node"])
+    nodes = nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"))
+    found = rows.join(F.broadcast(nodes) if small else nodes, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     return found.dropDuplicates(["node"]).select("node", "text")
 
 
@@ -244,10 +245,10 @@ def compared(texts: DataFrame, edges: DataFrame, labels: DataFrame, tried: DataF
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, links) for every document."""
+    """(doc_id, class_id, links, node, head) for every document; head is the node that stands for the class, with class_id."""
     rows = materialise(sketched(docs), "sketch")
     # One document stands for the copies of a text.
-    first = rows.where("node is not null").groupBy("node").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("doc_id"))
+    first = rows.where("node is not null").groupBy("node").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id"))
     nodes = materialise(first, "nodes")
     members = nodes.select("node", F.explode("keys").alias("key"))
     pairs = materialise(paired(members), "pairs")
@@ -264,10 +265,11 @@ def classes(docs: DataFrame) -> DataFrame:
     links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     named = nodes.select("node", "doc_id").join(labels, "node", "left").join(links, "node", "left")
     named = named.select("node", "doc_id", F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
-    heads = named.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    table = materialise(named.join(heads, "class").select("node", "class_id", "links"), "classes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node"))
+    heads = named.groupBy("class").agg(F.min("doc_id").alias("class_id"), least["node"].alias("head"))
+    table = materialise(named.join(heads, "class").select("node", "class_id", "links", "head"), "classes")
     out = rows.select("doc_id", "node").join(table, "node", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"), "node")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"), "node", "head")
 
 
 def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -275,10 +277,15 @@ def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without near copies: of each class the one with the least id stays, of repeated rows one."""
+    """Documents without near copies: of each class one text stays, that of the least id, or one without an id if none has any;
+    of repeated rows one. Rows are told apart by id and text, as ids can be missing or not unique."""
     found = materialise(classes(docs), "classes")
-    gone = materialise(found.where("doc_id <> class_id").select("doc_id").distinct(), "gone")
+    stays = (F.col("node") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    gone = materialise(found.where(F.col("node").isNotNull() & ~stays).select(F.col("doc_id").alias("_gone"), "node").distinct(), "gone")
     repeated = found.where("node is not null").groupBy("doc_id", "node").count().where("count > 1").limit(1).count()
     small = gone.count() <= BROADCAST_NODES
-    left = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = F.broadcast(gone) if small else gone
+    rows = bundled(docs).withColumn("_node", F.xxhash64("text"))
+    left = rows.join(gone, (F.col("_node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    left = unbundled(left, docs)
     return left.dropDuplicates(["doc_id", "text"]) if repeated else left
