@@ -308,6 +308,14 @@ def test_decontamination_stage_keeps_common_phrases(spark, tmp_path):
     assert {r.doc_id for r in decontam.stage(spark, df, str(tmp_path)).collect()} == {1, 3, 5}
 
 
+def test_decontamination_stage_removes_short_items(spark, tmp_path):
+    items = [(1, "who wrote the first book of spring"), (2, "the red fox ran"), (3, "what is it"), (4, "one two three four five six seven eight nine")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(1, "x Who wrote the first book of spring? y"), (2, "a the red fox ran b"), (3, "well what is it"), (4, "wrote the first book of spring"), (5, "one two three four five")]
+    df = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in docs], SCHEMA)
+    assert {r.doc_id for r in decontam.stage(spark, df, str(tmp_path)).collect()} == {3, 4, 5}
+
+
 def test_longest_match_extends_beyond_the_window():
     b = decontam.prepared([(1, " ".join(f"w{i}" for i in range(20)))])
     text = "x y " + " ".join(f"w{i}" for i in range(3, 17)) + " z"

@@ -27,6 +27,8 @@ from webstrata.sources.tables import materialise, table
 WINDOW = 8
 #: A document with windows of so many items is contaminated.
 LEAST_ITEMS = 2
+#: A document with the whole of a shorter item leaks it if the item has so many words at least.
+LEAST_WHOLE = 4
 #: Bytes of benchmark text sent to the executors at once; a larger benchmark is searched in several passes.
 BENCHMARK_BLOCK = 16 << 20
 
@@ -235,10 +237,11 @@ def op9(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark: a full window of one item is enough to leak it. Items shorter than a
-    window can be common phrases, so a document goes for them only if it holds LEAST_ITEMS."""
+    """Documents without a passage of the benchmark: a full window of one item is enough to leak it, or the whole
+    of an item shorter than that. Items of fewer than LEAST_WHOLE words can be common phrases, so a document goes for them only if
+    it holds LEAST_ITEMS."""
     rows = bundled(docs)
-    leaked = (F.col("longest") >= WINDOW) | (F.size("items") >= LEAST_ITEMS)
+    leaked = (F.col("longest") >= LEAST_WHOLE) | (F.size("items") >= LEAST_ITEMS)
     return unbundled(found(rows, table(spark, sf_dir, "benchmark"), rows.columns).where(~leaked), docs)
 
 
