@@ -175,6 +175,14 @@ def test_neardup_with_repeated_passages(spark):
     assert {r.doc_id: r.class_id for r in neardup.op2(spark, df).collect()} == want
 
 
+def test_neardup_counts_verified_links(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(k, f"{text} end{k}", "en", "a", 0) for k in range(6)], SCHEMA)
+    got = neardup.op2(spark, df)
+    assert got.columns == ["doc_id", "class_id", "verified_links"]
+    assert all(r.class_id == 0 and 1 <= r.verified_links <= 5 for r in got.collect())
+
+
 def test_neardup_stage_with_missing_and_shared_ids(spark):
     one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     docs = [(1, one), (2, one), (2, two), (None, one), (None, three), (None, three + " more"), (None, three)]

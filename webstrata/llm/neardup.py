@@ -273,7 +273,9 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return classes(docs).select("doc_id", "class_id", "links")
+    """verified_links: compared pairs of the text that are links. Pairs inside a class are mostly not compared, so a text can have
+    more links than that."""
+    return classes(docs).select("doc_id", "class_id", F.col("links").alias("verified_links"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
