@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,7 +278,7 @@ def test_packing_round_trip(spark):
 def test_encoder_odd_chunks():
     e = packing.Encoder(packing.tokenizer_file())
     texts = ["don't we're O\x00N \x00 b\x00\x00", "a b\x1cc d", "ΑΣ ΣΑΣ. é ́x", "", "<|endoftext|> 😀"]
-    assert [x.tolist() for x in e.encode([t.encode() for t in texts])] == [[*e.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert [x.tolist() for x in e.encode(pa.array(texts, pa.large_string()))] == [[*e.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
 
 
 @pytest.mark.parametrize("block", [decontam.BENCHMARK_BLOCK, 500])

@@ -13,18 +13,22 @@ Defined cases: null and empty texts are one end id; repeated rows are packed eac
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from webstrata.llm.common import blocks, picked, ragged, texts_of
+from webstrata.llm.common import blocks, picked, ragged
 from webstrata.sources.tables import materialise
 
 TOKENIZER = "word_bpe_49k.json"
@@ -39,10 +43,43 @@ REMEMBERED = 600_000
 #: Chunks encoded as one text, and what stands between them: a character that is a token of its own between spaces.
 TOGETHER = 2000
 MARK = b"\0"
+#: What the tokenizer's file does before its model, as its library writes it.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+#: Printable ASCII and the letters U+00C0 to U+00FF in UTF-8, and their words by the pattern above.
+_SIMPLE = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++")
+_WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x80-\xbf])++|[0-9]|[!-/:-@\[-`{-~]++")
+
+
+def byte_letters() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: itself if printable, else the next from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+class _Known(dict):
+    """Number of each chunk; a chunk not seen before takes the next number and is noted."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        self[chunk] = n = len(self)
+        self.new.append(chunk)
+        return n
 
 
 class Encoder:
-    """Ids of texts by chunk; memory is dropped when it is full."""
+    """Ids of texts by chunk; memory is dropped when it is full.
+
+    Chunks of printable ASCII and Latin-1 letters are cut into the tokenizer's words here and go to its model alone, if its
+    file's steps before the model are those of STEPS; all others go through the whole tokenizer."""
 
     def __init__(self, file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,47 +87,69 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
+        steps = json.loads(self.tokenizer.to_str())
+        self.simple = {k: steps[k] for k in STEPS} == STEPS
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.pool: list[np.ndarray] = []
-        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = _Known()
+        self.words: dict[bytes, list[int]] = {}
+        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.known[b""] = 0  # what stands before and after outer white space
+
+    def word(self, w: bytes) -> list[int]:
+        found = self.words.get(w)
+        if found is None:
+            text = w.decode() if w.isascii() else "".join(map(self.letters.__getitem__, w))
+            found = self.words[w] = [t.id for t in self.model.tokenize(text)]
+        return found
 
     def learn(self, chunks: list[bytes]) -> None:
-        """Many chunks are encoded as one text, with a mark between them that is one id; chunks that hold it go alone."""
-        plain = [c for c in chunks if MARK not in c]
-        other = [c for c in chunks if MARK in c]
-        mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids[0]
-        flat = [np.zeros(0, np.uint32)]
-        for k in range(0, len(plain), TOGETHER):
-            text = (b" " + MARK + b" ").join(plain[k : k + TOGETHER]).decode()
-            flat.append(np.array([*self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, mark], np.uint32))
-        for c in other:
-            flat.append(np.array([*self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, mark], np.uint32))
-        ids = np.concatenate(flat)
-        ends = np.flatnonzero(ids == mark)
-        if other:
-            ends = np.concatenate([ends[: len(plain)], sum(map(len, flat[: len(flat) - len(other)])) + np.cumsum([len(x) for x in flat[len(flat) - len(other) :]]) - 1])
-        starts = np.append(0, ends[:-1] + 1) if len(ends) else ends
-        for c in (*plain, *other):
-            self.known[c] = len(self.known)
-        self.starts = np.concatenate([self.starts, len(self.ids) + starts])
-        self.lengths = np.concatenate([self.lengths, ends - starts])
-        self.ids = np.concatenate([self.ids, ids])
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text with the end id."""
+        """Ids of new chunks, in order. Those that need the whole tokenizer are encoded as one text, with a mark between them that
+        is one id; chunks that hold the mark go alone."""
+        each: list[list[int] | None] = [None] * len(chunks)
+        plain = []
+        for i, c in enumerate(chunks):
+            if self.simple and _SIMPLE.fullmatch(c):
+                low = c.lower() if c.isascii() else c.decode().lower().encode()
+                found = _WORD.findall(low)
+                each[i] = self.word(low) if len(found) == 1 else [x for w in found for x in self.word(w)]
+            elif MARK in c:
+                each[i] = self.tokenizer.encode(c.decode(), add_special_tokens=False).ids
+            else:
+                plain.append(i)
+        if plain:
+            mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids[0]
+            for k in range(0, len(plain), TOGETHER):
+                some = plain[k : k + TOGETHER]
+                text = (b" " + MARK + b" ").join(chunks[i] for i in some).decode()
+                ids = np.array([*self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, mark])
+                at = 0
+                for i, end in zip(some, np.flatnonzero(ids == mark).tolist(), strict=True):
+                    each[i], at = ids[at:end].tolist(), end + 1
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        flat = np.fromiter(chain.from_iterable(each), np.uint32, int(sizes.sum()))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.lengths = np.concatenate([self.lengths, sizes])
+        self.ids = np.concatenate([self.ids, flat])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text with the end id, all texts of a block at once: each distinct chunk is looked up once a block."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        split = [t.split() for t in texts]
-        if new := list({c for words in split for c in words} - self.known.keys()):
-            self.learn(new)
-        get, out = self.known.__getitem__, []
-        for words in split:
-            k = np.fromiter(map(get, words), np.int64, len(words))
-            out.append(np.append(self.ids[ragged(self.starts[k], self.lengths[k])], np.uint32(END)))
-        return out
+        chunks = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.simple else texts)
+        distinct = chunks.flatten().dictionary_encode()
+        words = distinct.dictionary.cast(pa.large_binary()).to_pylist()
+        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            self.learn(self.known.new)
+            self.known.new = []
+        k = number[distinct.indices.to_numpy()]
+        lengths = self.lengths[k]
+        ids = self.ids[ragged(self.starts[k], lengths)]
+        upto = np.append(0, np.cumsum(lengths))[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
+        return [np.append(x, np.uint32(END)) for x in np.split(ids, upto[1:-1])] if len(texts) else []
 
 
 #: One for each file and worker process: what a task has learned serves the next.
@@ -161,9 +220,9 @@ def packed(docs: DataFrame, tokenizer: str, keep: str = "doc_id", with_ids: bool
             yield from pa.table(arrays, names=names).to_batches(2000)
 
         kept_type = pa.null()
-        for block in blocks(batches, size=2 << 20):
+        for block in blocks(batches, size=4 << 20):
             kept_type = block.schema.field(keep).type
-            texts = texts_of(block.column("text"))
+            texts = pc.fill_null(block.column("text").combine_chunks().cast(pa.large_string()), "")
             done: list[tuple] = []
             for doc, ids in zip(block.column(keep).to_pylist(), encoder.encode(texts), strict=True):
                 at = 0
