@@ -75,6 +75,29 @@ def by_block(df: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str | Str
     return df.mapInArrow(run, schema)
 
 
+#: Rows of one key that a task of a spread join takes; where there are more than SPREAD_KEYS times as many rows, more.
+SPREAD_ROWS = 1_000
+SPREAD_KEYS = 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """left.join(right, key, how) with the rows of frequent keys of `left` dealt to several tasks, by the hash of the columns `by`.
+
+    right's rows of such keys go to each of these tasks. Frequent keys are at most SPREAD_KEYS by definition, so they may be
+    collected and broadcast. counts: (key, n) of left, if known."""
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    most = max(SPREAD_ROWS, total // SPREAD_KEYS)
+    hot = counts.where((F.col("n") > most) & F.col(key).isNotNull()).select(key, F.ceil(F.col("n") / F.lit(most)).cast("int").alias("_tasks")).collect()
+    if not hot:
+        return left.join(right, key, how)
+    table = F.broadcast(left.sparkSession.createDataFrame(hot, f"{key} {left.schema[key].dataType.simpleString()}, _tasks int"))
+    tasks = F.coalesce("_tasks", F.lit(1))
+    dealt = left.join(table, key, "left").withColumn("_task", F.pmod(F.xxhash64(*by), tasks).cast("int")).drop("_tasks")
+    copied = right.join(table, key, "left").withColumn("_task", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("_tasks")
+    return dealt.join(copied, [key, "_task"], how).drop("_task")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers with well spread bits (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)
