@@ -1,14 +1,18 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches per language and source.
 
-Each document gets whole-text counts (features). Integer features go into sketches: counts by bucket, whose
+Each document gets whole-text counts. A feature is a number of events (symbols, doubled words and so on) out of a number of
+places (words, lines, letters); its share goes into a sketch, and so do the numbers of places: counts by bucket, whose
 width grows with the value (128 buckets an octave, so a quantile is at most 0.8 % off). Sketches merge by
 adding counts, so they come from one partially aggregated groupBy, in any order, with the same result. A
-group's upper fence is its median plus SPREAD times the distance to its upper quartile, which counts at least
-the feature's least distance. Small groups take their language's fences, small languages those of all. Documents
-join the fences of their group and fail if any feature lies beyond.
+group's fence for a feature is a rate read off its sketches alone: the median share plus SPREAD times the distance to the upper quartile,
+plus one event in a document of median size. A group's fences are drawn towards its language's, and those towards
+all documents', as if WEIGHT documents of the wider sketch belonged to the group; no size switches anything. Documents
+join the fences of their group and fail if any feature has more events than the fence's rate makes likely: more than ERRORS standard
+errors above it.
 
 Defined cases: null or blank text has no words and fails the base rule; null language or source is a group
-of its own ('' by name); repeated rows are judged each; an empty table gives no rows.
+of its own ('' by name); repeated rows are judged each, equal ones alike; an empty table gives no rows; very long texts are counted whole, one
+at a time; columns beyond those of documents, whatever their names, pass through the stage untouched.
 """
 
 from __future__ import annotations
@@ -23,11 +27,16 @@ from webstrata.llm.common import bundled, by_block, mix, picked, texts_of, unbun
 from webstrata.sources.tables import materialise
 
 WINDOW = 5
-SPREAD = 4
-#: A group of fewer documents has no fences of its own.
-GROUP_LEAST = 100
-#: Features with the least distance from median to upper quartile, in parts of a thousand.
-DISTANCE = {"symbols": 50, "repeats": 50, "doubled": 50, "dup_lines": 100, "capitals": 100, "bangs": 50, "long_words": 40}
+SPREAD = 6
+ERRORS = 4
+#: Documents of the wider sketch that a narrower one is blended with.
+WEIGHT = 100
+#: Features: events, places, and the counted items that one event brings (a repeated window of five words brings ten).
+FEATURES = {
+    "symbols": ("n_symbols", "n_words", 1), "repeats": ("n_repeat_words", "n_words", 2 * WINDOW), "dup_lines": ("n_dup_lines", "n_lines", 1),
+    "capitals": ("n_capitals", "n_letters", 1), "bangs": ("n_bangs", "n_words", 1), "long_words": ("n_long_words", "n_words", 1), "doubled": ("n_doubled", "n_words", 1),
+}
+PLACES = ["n_words", "n_lines", "n_letters"]
 #: Fences of so many groups are broadcast; more are joined by shuffle.
 BROADCAST_GROUPS = 20_000
 
@@ -92,12 +101,9 @@ def document_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def features() -> dict[str, Column]:
-    """Features in parts of a thousand, as whole numbers."""
-    share = lambda a, b: F.floor(F.col(a) * 1000 / F.greatest(F.col(b), F.lit(1))).cast("long")
-    return {
-        "symbols": share("n_symbols", "n_words"), "repeats": share("n_repeat_words", "n_words"), "dup_lines": share("n_dup_lines", "n_lines"),
-        "capitals": share("n_capitals", "n_letters"), "bangs": share("n_bangs", "n_words"), "long_words": share("n_long_words", "n_words"), "doubled": share("n_doubled", "n_words"),
-    }
+    """What is sketched, as whole numbers: shares of events in parts of 100,000, and numbers of places."""
+    share = lambda a, b, each: F.floor(F.col(a) * 100_000 / (each * F.greatest(F.col(b), F.lit(1)))).cast("long")
+    return {k: share(*v) for k, v in FEATURES.items()} | {k: F.col(k) for k in PLACES}
 
 
 def bucket(x: Column) -> Column:
@@ -131,20 +137,28 @@ def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
     return ranked.groupBy(*keys, "feature").agg(F.first("docs").alias("docs"), at(0.5).alias("q50"), at(0.75).alias("q75"))
 
 
+def rates(sketch: DataFrame, *keys: str) -> DataFrame:
+    """(keys, docs, r_<feature>...): events a place that a document may have, by its group's own sketches."""
+    q = quantiles(sketch, *keys)
+    of = lambda name, value: F.max(F.when(F.col("feature") == name, F.col(value)))
+    rate = lambda k, places: (of(k, "q50") + SPREAD * (of(k, "q75") - of(k, "q50"))) / 100_000 + 1 / F.greatest(of(places, "q50"), F.lit(1))
+    return q.groupBy(*keys).agg(F.max("docs").alias("docs"), *(rate(k, v[1]).alias(f"r_{k}") for k, v in FEATURES.items()))
+
+
 def fences(sketch: DataFrame) -> DataFrame:
-    """(lang, source, f_<feature>...): the upper fence of each feature for every group."""
-    least = F.element_at(F.create_map(*(F.lit(x) for kv in DISTANCE.items() for x in kv)), F.col("feature"))
-    fence = F.col("q50") + SPREAD * F.greatest(F.col("q75") - F.col("q50"), least)
-    wide = lambda q, *keys: q.groupBy(*keys).agg(
-        F.max("docs").alias("docs"), *(F.max(F.when(F.col("feature") == k, fence)).alias(f"f_{k}") for k in DISTANCE)
-    )
-    own = wide(quantiles(sketch, "lang", "source"), "lang", "source")
-    lang = wide(quantiles(merged(sketch, "lang"), "lang"), "lang")
-    every = wide(quantiles(merged(sketch.withColumn("all", F.lit(1)), "all"), "all"), "all")
+    """(lang, source, f_<feature>...): the rate of each feature for every group, blended with those of its language and of all."""
     name = lambda df, p: df.select(*(F.col(c).alias(c if c in ("lang", "source", "all") else p + c) for c in df.columns))
-    joined = name(own, "o_").withColumn("all", F.lit(1)).join(name(lang, "l_"), "lang").join(F.broadcast(name(every, "e_")), "all")
-    pick = lambda c: F.when(F.col("o_docs") >= GROUP_LEAST, F.col("o_" + c)).when(F.col("l_docs") >= GROUP_LEAST, F.col("l_" + c)).otherwise(F.col("e_" + c))
-    return joined.select("lang", "source", *(pick(f"f_{k}").alias(f"f_{k}") for k in DISTANCE))
+    own = name(rates(sketch, "lang", "source"), "o_").withColumn("all", F.lit(1))
+    lang = name(rates(merged(sketch, "lang"), "lang"), "l_")
+    every = name(rates(merged(sketch.withColumn("all", F.lit(1)), "all"), "all"), "e_")
+    joined = own.join(lang, "lang").join(F.broadcast(every), "all")  # one row
+    blend = lambda docs, near, far: (docs * near + WEIGHT * far) / (docs + WEIGHT)
+
+    def fence(k: str) -> Column:
+        wide = blend(F.col("l_docs"), F.col(f"l_r_{k}"), F.col(f"e_r_{k}"))
+        return blend(F.col("o_docs"), F.col(f"o_r_{k}"), wide).alias(f"f_{k}")
+
+    return joined.select("lang", "source", *map(fence, FEATURES))
 
 
 def base_failed() -> Column:
@@ -157,9 +171,14 @@ def judged(rows: DataFrame, fence_table: DataFrame) -> DataFrame:
     table = fence_table.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     rows = rows.withColumns({"_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit(""))})
     joined = rows.join(F.broadcast(table) if small else table, ["_lang", "_source"], "left").drop("_lang", "_source")
-    broken = F.array_compact(F.array(*(F.when(v > F.col(f"f_{k}"), F.lit(k)) for k, v in features().items())))
+
+    def beyond(k: str, events: str, places: str, each: int) -> Column:
+        likely = F.col(places) * F.col(f"f_{k}")
+        return F.when(F.col(events) / each > likely + ERRORS * F.sqrt(likely + 1), F.lit(k))
+
+    broken = F.array_compact(F.array(*(beyond(k, *v) for k, v in FEATURES.items())))
     out = joined.withColumn("base_failed", base_failed()).withColumn("broken", broken)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0)).drop(*(f"f_{k}" for k in DISTANCE))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0)).drop(*(f"f_{k}" for k in FEATURES))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
