@@ -395,3 +395,117 @@ def test_quotes(spark):
 def test_arrow_batches_are_small(spark):
     common.prepare(spark)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(common.BATCH_ROWS)
+
+
+def brute_kept(rows):
+    """The verdict of every document from exact sketches in plain Python. rows: (lang, source, counts by name)."""
+
+    def upper(v):
+        e = max(0, v.bit_length() - 8)
+        return ((v >> e) + 1 << e) - 1
+
+    def rates(group):
+        def q(values, share):
+            values = sorted(map(upper, values))
+            return next(v for i, v in enumerate(values, 1) if i >= share * len(values))
+
+        out = {}
+        for k, (a, b, each) in quality.FEATURES.items():
+            shares = [int(c[a] * 100_000 // (each * max(c[b], 1))) for c in group]
+            out[k] = (q(shares, 0.5) + quality.SPREAD * (q(shares, 0.75) - q(shares, 0.5))) / 100_000 + 1 / max(1, q([c[b] for c in group], 0.5))
+        return out
+
+    groups, langs = collections.defaultdict(list), collections.defaultdict(list)
+    for lang, source, c in rows:
+        if c["n_words"]:
+            groups[lang or "", source or ""].append(c)
+            langs[lang or ""].append(c)
+    every = rates([c for x in langs.values() for c in x])
+    blend = lambda n, near, far: {k: (n * near[k] + quality.WEIGHT * far[k]) / (n + quality.WEIGHT) for k in near}
+    wide = {k: blend(len(x), rates(x), every) for k, x in langs.items()}
+    fence = {k: blend(len(x), rates(x), wide[k[0]]) for k, x in groups.items()}
+    for lang, source, c in rows:
+        f = fence.get((lang or "", source or ""))
+        base = c["n_words"] < 10 or 100 * c["n_repeat_words"] > 20 * c["n_words"]
+        yield not base and all(c[a] / each <= c[b] * f[k] + quality.ERRORS * (c[b] * f[k] + 1) ** 0.5 for k, (a, b, each) in quality.FEATURES.items())
+
+
+def test_quality_verdicts_against_brute_force(spark):
+    df = table(spark, "/root/testdata/sf0.01", "documents")
+    docs = df.select("doc_id", "lang", "source", "text").collect()
+    counts = quality.counts_of([(r.text or "").encode() for r in docs])
+    rows = [(r.lang, r.source, {k: int(v[i]) for k, v in counts.items()}) for i, r in enumerate(docs)]
+    want = dict(zip((r.doc_id for r in docs), brute_kept(rows), strict=True))
+    assert {r.doc_id: r.kept for r in quality.op3(spark, df).collect()} == want and 0 < sum(want.values()) < len(want)
+    fences = quality.fences(quality.sketches(quality.document_counts(df, ["lang", "source"]))).collect()
+    assert all(len({r[f"f_{k}"] for r in fences}) > len(fences) // 2 for k in quality.FEATURES)
+
+
+PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in PII.items():
+        for m in re.finditer(pattern, text):
+            d = [int(c) for c in m[0] if c.isdigit()]
+            luhn = sum(x if i % 2 == 0 else (2 * x if x < 5 else 2 * x - 9) for i, x in enumerate(reversed(d))) % 10 == 0
+            good = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 16 <= len(d) <= 19 and luhn, "phone": 8 <= len(d) <= 15}
+            if good[kind]:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_pii_base_spans_against_brute_force(spark):
+    df = table(spark, "/root/testdata/sf0.01", "documents")
+    odd = ["a@b.c@d.e", "1.2.3.4.5.6.7.8", "x@y.z 4111 1111 1111 1111 9", "+1 2 (3) 456-7890. +12", "256.1.1.1 0.0.0.0", "😀 a@b.co é@f.g +49 30 1234567", "a" * 300 + "@b.c"]
+    df = df.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    docs = {r.doc_id: r.text or "" for r in df.collect()}
+    found = 0
+    for r in pii.op7(spark, df).collect():
+        want = brute_spans(docs[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), docs[r.doc_id][:200]
+        assert set(want) <= set(filter(None, r.spans.split(","))) and r.n_found >= len(want)
+        found += "secret" in r.secrets
+    assert found >= 5
+
+
+@pytest.mark.parametrize("text", ["x [at] a" + ".b" * 250_000, "a@b.org " * 20_000, "a [at] b.org, " * 10_000, "+1 (234) 555-7777 4111111111111111 " * 5000, "0a" + "f" * 1_000_000])
+def test_pii_very_long_texts(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = pii.op7(spark, df).first()
+    want = brute_spans(text) if " " in text[100:200] else []  # plain patterns take quadratic time over one long run
+    assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+    out = pii.stage(spark, df, SF).first().text
+    left = re.sub(r"[a-z]@b\.org|\+1 \(234\) 555-7777|4111111111111111", lambda m: {"a": "<EMAIL>", "+": "<PHONE>", "4": "<CARD>"}[m[0][0]], text)
+    assert out == left or not want
+
+
+def plain_text(page):
+    tree, found, _ = extraction.read(page, ())
+    return "\n".join(x.text for x in found if not x.named)
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<div>" * 100_000 + "deep" + "</div>" * 100_000 + "tail", "deep\ntail"), ("<nav>" + "<div>" * 5000 + "menu" + "</div>" * 5000 + "</nav>story", "story"),
+    ("".join(f"<div>{i}" for i in range(400)) + "".join(f"{i}</div>" for i in range(400)), "\n".join(map(str, range(399))) + "\n3990\n" + "\n".join(map(str, range(1, 400)))),
+    ("a" + "<a " * 300_000, "a" + ("<a " * 300_000).rstrip()), ("<p class=it's>don't</p><p title='>'>b</p>", "don't\nb"), ("<a href=\"x>y</a> z", "y z"),
+    ("<! " * 100_000, ("<! " * 100_000).rstrip()), ("a < b > c <3", "a < b > c <3"), ("<script>x</p>", ""), ("<div><li></ul>" * 20_000 + "x", "x"), ("x<p>" * 100_000, "\n".join("x" * 100_000)),
+])
+def test_extraction_of_odd_pages(page, want):
+    assert plain_text(page) == want
+
+
+def test_extraction_depends_on_the_wrapper(spark):
+    """A notice without a telling name goes if the host's other pages have it, and stays if they don't."""
+    page = "<html><body><div><p>Terms apply to all readers</p></div><div><p>Story {} is told</p></div></body></html>"
+    other = "<html><body><div><p>Note {}</p></div><div><p>Story {} is told</p></div></body></html>"
+    same = [(k, f"http://s/{k}", page.format(k)) for k in range(6)]
+    varied = [(10 + k, f"http://v/{k}", other.format(k, k) if k else page.format(k)) for k in range(6)]
+    df = spark.createDataFrame(same + varied, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "wrapper", "constant", "node", "text", "n")})
+    got = {r.page_id: r for r in extraction.op5(spark, df).collect()}
+    assert (got[0].text, got[0].n_template) == ("Story 0 is told", 1)
+    assert (got[10].text, got[10].n_template) == ("Terms apply to all readers\nStory 0 is told", 0)

@@ -4,12 +4,15 @@ Pages become trees of elements, runs of like siblings taken as one node. For eve
 trees of all its pages, aligned by simple tree matching and united. Then each page is aligned with its host's wrapper,
 and all pages' texts are counted by the wrapper's node they stand in. A text that is the same on SHARE of the pages with the node
 (LEAST_PAGES at least; pages of the same content count once) belongs to the template, other texts of the node are in a slot.
-Content is what the template doesn't have at that node, but for parts whose element or name says what they are (menus,
-adverts, forms and the like). Article and main marks are a hint among slots: a page's only marked part is taken alone if it has
-half of the page's text in slots at least.
+The wrapper decides first, in all parts of a page. Of the slots, those in parts whose element or name says that they are
+menus, adverts, forms, comments and the like (what varies from page to page without being the article) are left out. Article and main marks are a
+hint among slots: a page's only marked part is taken alone if it has half of the page's text in slots at least.
+
+Pages are read in one pass; elements nested deeper than DEPTH become siblings there, as in browsers, so no depth of nesting matters.
 
 Defined cases: null html is empty and gives empty text; a host with one page has no template; a page whose url
-has no host belongs to host ''; repeated pages are extracted each; an empty table gives no rows.
+has no host belongs to host ''; repeated pages are extracted each, equal ones alike; an empty table gives no rows; very long pages are read
+whole; of other columns none is read, whatever its name.
 """
 
 from __future__ import annotations
@@ -17,6 +20,9 @@ from __future__ import annotations
 import html as _html
 import json
 import re
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -34,6 +40,8 @@ LEAST_PAGES = 3
 SHARE = 0.9
 #: A host's shapes are united in so many parts by tasks of their own, then the parts.
 PARTS = 64
+#: Levels of a page's tree.
+DEPTH = 150
 #: Wrappers of so many hosts are broadcast; more are joined by shuffle.
 BROADCAST_HOSTS = 2_000
 
@@ -50,7 +58,10 @@ NAMES = re.compile(
     r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|header|masthead|menu|modal|nav|"
     r"navbar|navigation|newsletter|notice|pagination|popup|promo|promotion|related|replies|respond|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[^a-z])"
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+_TEXT = re.compile(r"[^<]++|<!--.*?(?:-->|\Z)|<[!?][^>]*+>", re.S)
+# A quote counts right after an equals sign, and only if it is closed; where that leaves a tag without end, tags end at the next >.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+|[\"'])*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -68,48 +79,89 @@ class Node:
         return f"{self.tag}.{self.name}"
 
 
-def parse(page: str) -> Node:
-    """A tree of block elements; inline elements dissolve into the text of their block."""
-    root = Node("html", "")
-    stack = [root]
-    at, end = 0, len(page)
+def tokens(page: str) -> Iterator[tuple[str | None, str, str, int]]:
+    """(tag, slash, attributes, end) of each tag, or (None, text, "", end); the reader may send where to go on.
+
+    Linear: a tag that quotes leave without end makes tags end at the next > from there on, and what has no > ahead is text."""
+    at, end, last, pattern = 0, len(page), page.rfind(">"), _TAG
     while at < end:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            s = m[0]
-            if s[0] != "<" or s == "<":
-                stack[-1].texts.append((len(stack[-1].kids), s))
-            continue
-        tag = tag.lower()
-        if tag == "br":
-            stack[-1].texts.append((len(stack[-1].kids), " "))
-        if m[1]:
-            if tag in BLOCKS or tag in SILENT:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
+        m = _TEXT.match(page, at)
+        if m is not None:
+            at = m.end()
+            if m[0][0] != "<":
+                yield None, m[0], "", at
             continue
-        if tag in _RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
-            continue
-        if tag in VOID and tag != "hr" or tag not in BLOCKS and tag not in SILENT:
+        if at > last:
+            yield None, page[at:], "", end
+            return
+        m = pattern.match(page, at)
+        if m is None and pattern is _TAG and page[at + 1 : at + 2].strip("/").isalpha() | (page[at + 1 : at + 2] == "/"):
+            if (m := _PLAIN_TAG.match(page, at)) is not None:
+                pattern = _PLAIN_TAG
+        if m is None:
+            at += 1
+            yield None, "<", "", at
             continue
-        if tag != "html" and tag != "body":
-            if stack[-1].tag == "p" and tag in BLOCKS:
-                stack.pop()
-            shut = _CLOSED_BY.get(tag)
-            if shut and stack[-1].tag in shut:
-                stack.pop()
-        name = " ".join(sorted({x for g in _NAMED.findall(m[3]) for x in "".join(g).lower().split()})) if m[3] else ""
-        node = Node(tag, name)
-        stack[-1].kids.append(node)
-        if tag != "hr" and not m[3].endswith("/"):
-            stack.append(node)
-    return root
+        at = m.end()
+        at = (yield m[2].lower(), m[1], m[3], at) or at
+
+
+def parse(page: str) -> Node:
+    """A tree of block elements; inline elements dissolve into the text of their block."""
+    stack = [Node("html", "")]
+    opened: Counter[str] = Counter()
+
+    def place() -> Node:
+        """The node that takes text: beyond DEPTH a fresh one if others have followed, so that order holds."""
+        node = stack[-1]
+        if len(stack) > DEPTH and stack[DEPTH - 1].kids[-1] is not node:
+            node = stack[-1] = Node(node.tag, node.name)
+            stack[DEPTH - 1].kids.append(node)
+        return node
+
+    def close(k: int) -> None:
+        opened.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
+    reader = tokens(page)
+    token = next(reader, None)
+    while token is not None:
+        tag, slash, rest, at = token
+        goto = None
+        if tag is None:
+            node = place()
+            node.texts.append((len(node.kids), slash))
+        elif tag == "br":
+            node = place()
+            node.texts.append((len(node.kids), " "))
+        elif slash:
+            if opened[tag] > 0:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
+        elif tag in _RAW:
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            goto = end.end() if end else len(page)
+        elif tag in SILENT or tag in BLOCKS and (tag not in VOID or tag == "hr"):
+            if tag not in ("html", "body") and len(stack) > 1:
+                if stack[-1].tag == "p" and tag in BLOCKS:
+                    close(len(stack) - 1)
+                if stack[-1].tag in _CLOSED_BY.get(tag, ()):
+                    close(len(stack) - 1)
+            name = " ".join(sorted({x for g in _NAMED.findall(rest) for x in "".join(g).lower().split()})) if rest else ""
+            node = Node(tag, name)
+            if len(stack) > DEPTH and is_other(stack[-1]):
+                node = Node(stack[-1].tag, stack[-1].name)  # becomes a sibling of its parent, with what that says
+            stack[min(len(stack), DEPTH) - 1].kids.append(node)
+            if tag != "hr" and not rest.endswith("/"):
+                stack.append(node)
+                opened[node.tag] += 1
+        try:
+            token = reader.send(goto)
+        except StopIteration:
+            token = None
+    return stack[0]
 
 
 def clean(s: str) -> str:
@@ -203,12 +255,20 @@ def is_other(node: Node) -> bool:
     return node.tag in OTHER or node.tag in SILENT or bool(node.name and node.tag not in ("html", "body", "article", "main") and NAMES.search(node.name))
 
 
-def blocks(node: Node, wrapper: tuple, path: str, out: list[tuple[str, str, Node | None]], present: set[str], part: Node | None = None) -> None:
-    """Adds (path of the wrapper's node, text, outermost article or main part around it) of a page's blocks in order, but for named
-    parts; present gets the paths of all nodes. The path is empty where the wrapper has no such node."""
-    if is_other(node):
+@dataclass
+class Block:
+    path: str  # of the wrapper's node, empty where the wrapper has no such node
+    text: str
+    part: Node | None  # the outermost article or main part around it
+    named: bool  # in a part whose element or name tells what it is
+
+
+def blocks(node: Node, wrapper: tuple, path: str, out: list[Block], present: set[str], part: Node | None = None, named: bool = False) -> None:
+    """Adds a page's blocks in order; present gets the paths of all nodes."""
+    if node.tag in SILENT:
         return
-    if part is None and node.tag in ("article", "main"):
+    named = named or is_other(node)
+    if part is None and not named and node.tag in ("article", "main"):
         part = node
     present.add(path)
     of: dict[int, int] = {}
@@ -219,7 +279,7 @@ def blocks(node: Node, wrapper: tuple, path: str, out: list[tuple[str, str, Node
 
     def flush() -> None:
         if s := clean("".join(text)):
-            out.append((path, s, part))
+            out.append(Block(path, s, part, named))
         text.clear()
 
     for k, kid in enumerate(node.kids):
@@ -228,12 +288,12 @@ def blocks(node: Node, wrapper: tuple, path: str, out: list[tuple[str, str, Node
             at += 1
         flush()
         i = of.get(id(kid))
-        blocks(kid, *((), "") if i is None else (wrapper[i][1], f"{path}.{i}"), out, present, part)
+        blocks(kid, *((), "") if i is None else (wrapper[i][1], f"{path}.{i}"), out, present, part, named)
     text += [s for _, s in node.texts[at:]]
     flush()
 
 
-def read(page: str, wrapper: tuple) -> tuple[Node, list[tuple[str, str, Node | None]], set[str]]:
+def read(page: str, wrapper: tuple) -> tuple[Node, list[Block], set[str]]:
     """A page's tree, its blocks and the nodes of the wrapper on it."""
     tree, out, present = parse(page), [], set()
     shaped(tree)
@@ -241,19 +301,22 @@ def read(page: str, wrapper: tuple) -> tuple[Node, list[tuple[str, str, Node | N
     return tree, out, present - {""}
 
 
-def content(page: str, wrapper: tuple, constant: set[tuple[int, int]]) -> list[str]:
-    """Blocks of a page's main text in order. constant: (node, text) of the template, as numbers. If one article or main part
-    has half of the text at least that is not template, it is the main text; else all such text is."""
+def content(page: str, wrapper: tuple, constant: set[tuple[int, int]]) -> tuple[list[str], int, int]:
+    """Blocks of a page's main text in order, number of blocks that are template, and of slots left out for their part's name.
+    constant: (node, text) of the template, as numbers. If one article or main part has half of the slots' text at least, it is
+    the main text; else all of them are."""
     tree, found, _ = read(page, wrapper)
-    left = [(s, part) for path, s, part in found if (number(path), number(s)) not in constant]
+    slots = [x for x in found if (number(x.path), number(x.text)) not in constant]
+    left = [x for x in slots if not x.named]
+    counts = len(found) - len(slots), len(slots) - len(left)
     marked = [x for x in find_article(tree) if x.kids or x.texts]
     mains = [x for x in marked if x.tag == "main"]
     if len(marked) == 1 or len(mains) == 1:
         mark = (mains if len(mains) == 1 else marked)[0]
-        inside = [s for s, part in left if part is mark]
-        if inside and 2 * sum(map(len, inside)) >= sum(len(s) for s, _ in left):
-            return inside
-    return [s for s, _ in left]
+        inside = [x.text for x in left if x.part is mark]
+        if inside and 2 * sum(map(len, inside)) >= sum(len(x.text) for x in left):
+            return inside, *counts
+    return [x.text for x in left], *counts
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -290,9 +353,9 @@ def templates(rows: DataFrame, learned: DataFrame) -> DataFrame:
             if w not in known:
                 known[w] = as_shape(json.loads(w))
             _, found, present = read(page, known[w])
-            sign = number("\n".join(s for _, s, _ in found))
+            sign = number("\n".join(x.text for x in found if not x.named))
             out.update((h, number(path), None, sign) for path in present)
-            out.update((h, number(path), number(s), sign) for path, s, _ in found if path)
+            out.update((h, number(x.path), number(x.text), sign) for x in found if x.path)
         return pa.table([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["host", "node", "text", "sign"])
 
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
@@ -305,7 +368,7 @@ def templates(rows: DataFrame, learned: DataFrame) -> DataFrame:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) of every page."""
+    """(page_id, url, text, n_template, n_named) of every page."""
     host = F.lower(F.regexp_extract("url", r"^[^:/?#]+://(?:[^/?#@]*@)?([^/?#]*)", 1))
     rows = picked(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce(host, F.lit("")).alias("host"))
     learned = materialise(wrappers(rows), "wrappers")
@@ -319,12 +382,15 @@ def extracted(pages: DataFrame) -> DataFrame:
             if host not in known:
                 same = t.column("constant")[i].as_py() or []
                 known[host] = as_shape(json.loads(t.column("wrapper")[i].as_py())), {(x["node"], x["text"]) for x in same}
-            out.append("\n".join(content(page, *known[host])))
-        return pa.table([t.column("page_id"), t.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+            texts, template, named = content(page, *known[host])
+            out.append(("\n".join(texts), template, named))
+        columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)]
+        return pa.table([t.column("page_id"), t.column("url"), *columns], names=["page_id", "url", "text", "n_template", "n_named"])
 
     joined = with_wrappers(rows, learned).select("page_id", "url", "host", "html", "wrapper", "constant")
-    return by_block(joined, run, f"page_id {kind}, url string, text string", text="html", size=2 << 20)
+    return by_block(joined, run, f"page_id {kind}, url string, text string, n_template long, n_named long", text="html", size=2 << 20)
 
 
 def op5(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    return extracted(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    """n_template: blocks of the page that the wrapper calls template; n_named: slots left out for the name of their part."""
+    return extracted(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template", "n_named")
