@@ -1,16 +1,18 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from webstrata.functions.robots import robots_rules
 from webstrata.operators import crawl, history, search, store
 from webstrata.plans import queries
 from webstrata.sources import pages as sources
+from webstrata.sources.tables import shared_dir
 from webstrata.streaming import capture_log
 
-V1 = "<h1>Hello Web Archive</h1><p>First snapshot of content.</p>"
-V2 = V1 + "<p>Added new update line.</p>"
-URL = "https://example.com/e2e-test"
+V1 = "<h2>River levels</h2><p>Morning report.</p>"
+V2 = V1 + "<p>Evening: rising slowly.</p>"
+URL = "https://strata.test/river-report"
 
 
 def captures(spark, rows):
@@ -19,18 +21,18 @@ def captures(spark, rows):
 
 
 def test_two_versions_show_log_diff_search(spark, tmp_path):
-    store.append_captures(captures(spark, [(URL, V1), (URL + "#x", V2), ("https://example.com/other", V1), (URL, V2), ("://bad", V1)]), str(tmp_path / "s"))
+    store.append_captures(captures(spark, [(URL, V1), (URL + "#x", V2), ("https://strata.test/other", V1), (URL, V2), ("://bad", V1)]), str(tmp_path / "s"))
     c = store.open_store(spark, str(tmp_path / "s"))
-    path = "archive/example.com/e2e-test/index.md"
+    path = "archive/strata.test/river-report/index.md"
     assert c.count() == 4
-    assert "Added new update line." in history.show(c, path).first().data
-    assert "Added" not in history.show(c, path, 1).first().data
-    assert history.show(c, path, form="json").first().data.startswith('{"url":"https://example.com/e2e-test"')
+    assert "Evening: rising slowly." in history.show(c, path).first().data
+    assert "Evening" not in history.show(c, path, 1).first().data
+    assert history.show(c, path, form="json").first().data.startswith('{"url":"https://strata.test/river-report"')
     assert [r.commit_seq for r in history.change_log(c, path).collect()] == [2, 1]
-    assert "+Added new update line." in history.diff(c, path, 2).first().hunks
-    assert {r.md_path for r in history.list_archived(c).collect()} == {path, "archive/example.com/other/index.md"}
-    top = search.search(store.tree_entries(c), "e2e-tset", fuzzy=True).first()
-    assert "e2e-test" in top.path
+    assert "+Evening: rising slowly." in history.diff(c, path, 2).first().hunks
+    assert {r.md_path for r in history.list_archived(c).collect()} == {path, "archive/strata.test/other/index.md"}
+    top = search.search(store.tree_entries(c), "river-reprot", fuzzy=True).first()
+    assert "river-report" in top.path
     assert [r.commit_seq for r in store.unchanged_skipped(c).orderBy("commit_seq").collect()] == [1, 2, 3]
     assert {r.refs for r in store.blobs(c).collect()} == {2}
     store.compact(c, str(tmp_path / "t"))
@@ -95,3 +97,41 @@ def test_registered_queries_have_unique_columns(spark):
     for name in ("url_normalize", "shard_paths", "robots_gate"):
         df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert len(set(df.columns)) == len(df.columns) and df.count() > 0
+
+
+def test_archive_end_to_end(spark, tmp_path):
+    root, at = str(tmp_path / "root"), dt.datetime(2024, 5, 1)
+    schema = "url string, html string, etag string, commit_seq long, committed_at timestamp"
+    batch = lambda *rows: spark.createDataFrame([(*r, at) for r in rows], schema)
+    image = "<img src='/i/a.png'><img src='/j/a.png'>"
+    data = spark.createDataFrame([("https://strata.test/i/a.png", b"1"), ("https://strata.test/j/a.png", b"2"), ("https://strata.test/k.png", b"")], "asset_url string, data binary")
+    store.archive(spark, root, batch((URL, V1 + image, "e1", 1), ("https://strata.test/x", V1, "e9", 2)), asset_data=data)
+    assert store.ref_commit(spark, root, "main") == 2 and store.ref_commit(spark, root, "dev") is None
+    assert [(r.path, bytes(r.data)) for r in spark.read.parquet(f"{root}/assets").collect()] == [("archive/strata.test/river-report/assets/a.png", b"2")]
+    again = store.archive(spark, root, batch((URL, V2, "e2", 3), ("https://strata.test/x", V1, "e9", 4)), message="evening")
+    assert [r.commit_seq for r in again.collect()] == [3] and store.ref_commit(spark, root, "main") == 3
+    text = "## River levels\n\nMorning report.\n\n![](/i/a.png)![](/j/a.png)"
+    log = {r.commit_seq: (r.parent, r.message) for r in spark.read.parquet(f"{root}/commits").collect()}
+    assert log[2][0] == 1 and log[3] == (2, "evening") and log[1] == (None, f"archive: {URL} ({len(text)} bytes md)")
+    assert not store.save_ref(spark, root, "main", 9, 2) and store.save_ref(spark, root, "main", 9, 3)
+    store.archive(spark, root, batch(("https://strata.test/y", V1, None, 1)), branch="dev", message="")
+    assert {r.name: r.commit_seq for r in store.refs(spark, root).collect()} == {"main": 9, "dev": 1}
+    c = store.open_store(spark, f"{root}/captures")
+    kept = store.prune_blobs(spark.createDataFrame([(c.first().md_sha,), ("0",)], "sha string"), c)
+    assert kept.count() == 1 and store.new_blobs(store.blobs(c), kept).count() == 1
+
+
+def test_shared_dir_must_be_shared():
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda key, other: other)})
+        sparkContext = type("S", (), {"master": "spark://m:7077", "applicationId": "a"})  # noqa: N815
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Session())
+
+
+def test_robots_source_of_no_server(spark):
+    spark.dataSource.register(sources.HttpRobots)
+    rows = spark.read.format("http_robots").option("sites", "http://127.0.0.1:9").load()
+    assert [tuple(r) for r in rows.collect()] == [("127.0.0.1:9", "")]
+    assert robots_rules(rows).first().disallow == []

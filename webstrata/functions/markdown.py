@@ -203,7 +203,22 @@ def html_to_markdown(html: pd.Series) -> pd.Series:
 
 
 def decode_entities(text: Column) -> Column:
-    """Named references only, in one JVM pass each; `&amp;` last, so nothing is decoded twice."""
-    for name, char in [*((k, v) for k, v in ENTITIES.items() if k != "amp"), ("amp", "&")]:
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return text
+    """Named and numeric references, each decoded once: the text is cut at references, which are then looked up. Others stay."""
+    pattern = r"&(?:#[xX][0-9A-Fa-f]{1,8}|#[0-9]{1,9}|[A-Za-z]{1,11});"
+    names = F.create_map(*(F.lit(x) for k, v in ENTITIES.items() for x in (f"&{k};", v)))
+
+    def one(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, "^&#[xX]?([0-9A-Fa-f]*);$", 1)
+        point = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+        # UTF-8 of the code point, byte by byte.
+        byte = lambda first, shift: F.lpad(F.hex(first + F.shiftright(point, shift).bitwiseAND(63 if first == 128 else 127)), 2, "0")
+        coded = (
+            F.when(point < 128, byte(0, 0)).when(point < 2048, F.concat(byte(192, 6), byte(128, 0)))
+            .when(point < 65536, F.concat(byte(224, 12), byte(128, 6), byte(128, 0)))
+            .otherwise(F.concat(byte(240, 18), byte(128, 12), byte(128, 6), byte(128, 0)))
+        )
+        valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        return F.when(F.startswith(ref, F.lit("&#")), F.when(valid, F.decode(F.unhex(coded), "UTF-8")).otherwise(ref)).otherwise(F.coalesce(F.try_element_at(names, ref), ref))
+
+    gaps, refs = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_join(F.zip_with(gaps, refs, lambda g, r: F.concat(g, F.when(r.isNull(), "").otherwise(one(r)))), "")

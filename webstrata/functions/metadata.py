@@ -58,5 +58,10 @@ def gzip_bytes(text: pd.Series) -> pd.Series:
     return text.map(lambda t: gzip.compress(t.encode() if isinstance(t, str) else t, 9, mtime=0), na_action="ignore")
 
 
+@F.pandas_udf(BinaryType())
+def gunzip_bytes(data: pd.Series) -> pd.Series:
+    return data.map(lambda t: gzip.decompress(bytes(t)), na_action="ignore")
+
+
 def commit_message(url: Column, markdown_bytes: Column) -> Column:
     return F.format_string("archive: %s (%s bytes md)", url, markdown_bytes.cast("string"))

@@ -32,9 +32,8 @@ def _atoi(c: Column) -> Column:
 
 def normalize_query(query: Column) -> Column:
     """Drop tracking parameters, order the rest bytewise, join with `&`."""
-    tokens = F.filter(F.split(query, "[&;]"), lambda t: t != "")
-    kept = F.filter(F.slice(tokens, 1, MAX_PARAMS), lambda t: ~F.substring_index(t, "=", 1).isin(TRACKING_KEYS))
-    return F.array_join(F.array_sort(kept), "&")
+    kept = F.filter(F.split(query, "[&;]"), lambda t: (t != "") & ~F.substring_index(t, "=", 1).isin(TRACKING_KEYS))
+    return F.array_join(F.array_sort(F.slice(kept, 1, MAX_PARAMS)), "&")
 
 
 def let(value: Column, use) -> Column:

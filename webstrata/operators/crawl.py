@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webstrata.functions.robots import robots_gate
 from webstrata.functions.urls import parse_url
-from webstrata.sources.tables import materialise
+from webstrata.sources.tables import discard, materialise
 
 
 def crawl(spark: SparkSession, edges: DataFrame, start: str, depth: int = 1, max_pages: int = 50,
@@ -17,6 +17,7 @@ def crawl(spark: SparkSession, edges: DataFrame, start: str, depth: int = 1, max
     edges (src, pos, dst) hold normalised URLs. At most max_pages are visited, those that robots rules stop
     included; at most 4 * max_pages are ever queued. Both bounds keep a level small; they are the crawl's own
     parameters, and ordering a level needs no more rows than that. Each level is written to shared storage."""
+    edges = materialise(edges.select("src", "pos", "dst"), "edges")  # read in every level: pages are not parsed again
     seed = spark.range(1).select(F.lit(0).alias("rank"), F.lit(start).alias("url"), F.lit(0).alias("depth"))
     queued = materialise(seed, "crawl")
     level, total = queued, 1
@@ -42,6 +43,7 @@ def crawl(spark: SparkSession, edges: DataFrame, start: str, depth: int = 1, max
         queued = materialise(queued.unionByName(level), "crawl")
         if total >= max_pages * 4:
             break
+    discard(edges)
     out = queued.where(F.col("rank") < max_pages).withColumn("_u", parse_url(F.col("url")))
     out = out.select("rank", "url", "depth", F.col("_u.host").alias("host"), F.col("_u.path").alias("path"))
     if rules is None:

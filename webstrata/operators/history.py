@@ -23,13 +23,11 @@ def change_log(captures: DataFrame, md_path: str | None = None, limit: int | Non
     """Commits that changed a path, newest first, with lines before and after."""
     rows = captures if md_path is None else captures.where(F.col("md_path") == md_path)
     w = Window.partitionBy("branch", "md_path").orderBy("commit_seq")
-    rows = rows.withColumn("before", F.lag("md_sha").over(w)).withColumn("before_md", F.lag("markdown").over(w))
+    # Only ids and line counts are shuffled, never the documents.
+    rows = rows.select("branch", "md_path", "commit_seq", "md_sha", F.size(F.split("markdown", "\n")).alias("lines"))
+    rows = rows.withColumn("before", F.lag("md_sha").over(w)).withColumn("lines_before", F.coalesce(F.lag("lines").over(w), F.lit(0)))
     changed = rows.where("before is null or before <> md_sha")
-    lines = lambda c: F.size(F.split(c, "\n"))
-    out = changed.select(
-        "branch", "md_path", "commit_seq", "md_sha", lines("markdown").alias("lines"),
-        F.when(F.col("before_md").isNotNull(), lines("before_md")).otherwise(0).alias("lines_before"),
-    ).orderBy(F.desc("commit_seq"), "md_path")
+    out = changed.select("branch", "md_path", "commit_seq", "md_sha", "lines", "lines_before").orderBy(F.desc("commit_seq"), "md_path")
     return out if limit is None else out.limit(limit)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +14,7 @@ from webstrata.functions.markdown import decode_entities, html_to_markdown
 from webstrata.functions.sanitize import sanitize_html
 from webstrata.operators import crawl, history, search, store
 from webstrata.plans import sql
-from webstrata.sources.tables import materialise, table
+from webstrata.sources.tables import materialise, shared_dir, table
 from webstrata.streaming import capture_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,7 +130,7 @@ def entity_decode(spark, d):
     return _pages(spark, d).select("page_id", decode_entities(F.col("html")).alias("decoded"))
 
 
-@query()
+@query(f"SELECT page_id, {sql.markdown(sql.sanitized())} AS markdown FROM pages")
 def markdown(spark, d):
     clean = _pages(spark, d).select("page_id", sanitize_html(F.col("html")).alias("h"))
     return clean.select("page_id", html_to_markdown("h").alias("markdown"))
@@ -168,12 +168,70 @@ def blob_dedupe(spark, d):
     return store.blobs(t.select(F.sha1(F.col("text").cast("binary")).alias("md_sha"), F.octet_length("text").cast("long").alias("markdown_bytes")))
 
 
-@query()
+@query("SELECT page_id, strlen(html)::INTEGER AS raw_bytes, sha1(html) AS raw_sha, true AS smaller FROM pages")
 def gzip_roundtrip(spark, d):
-    return _pages(spark, d).select("page_id", F.octet_length("html").alias("raw_bytes"), F.octet_length(metadata.gzip_bytes("html")).alias("gz_bytes"))
+    """Compressed, decompressed, and the digest of what comes back."""
+    p = _pages(spark, d).select("page_id", F.octet_length("html").alias("raw_bytes"), metadata.gzip_bytes("html").alias("gz"))
+    return p.select("page_id", "raw_bytes", F.sha1(metadata.gunzip_bytes("gz")).alias("raw_sha"), (F.octet_length("gz") < F.col("raw_bytes")).alias("smaller"))
 
 
-@query()
+_MD = f"(SELECT *, {sql.markdown(sql.sanitized())} AS md FROM parsed)"
+_CAPTURES = f"""{_P}, captures AS (SELECT page_id AS commit_seq, normalized_url AS url, {sql.directory()} || '/index.md' AS md_path,
+  sha1(encode('blob ' || strlen(md)) || '\\x00'::BLOB || encode(md)) AS md_sha, strlen(html) AS raw_bytes, strlen(md) AS markdown_bytes FROM {_MD})"""
+
+
+@query(f"WITH {_CAPTURES} SELECT commit_seq, lag(commit_seq) OVER (ORDER BY commit_seq) AS parent, 'archive: ' || url || ' (' || markdown_bytes || ' bytes md)' AS message FROM captures")
+def commit_log(spark, d):
+    return store.commits(_captures(spark, d)).select("commit_seq", "parent", "message")
+
+
+@query(f"WITH {_CAPTURES} SELECT md_path, max(commit_seq) AS commit_seq, arg_max(md_sha, commit_seq) AS md_sha FROM captures GROUP BY md_path")
+def latest_markdown(spark, d):
+    return store.as_of(_captures(spark, d)).select("md_path", "commit_seq", "md_sha")
+
+
+@query(f"WITH {_CAPTURES} SELECT 'main' AS name, max(commit_seq) AS commit_seq, count(*) AS commits FROM captures")
+def archive_end_to_end(spark, d):
+    """All pages through one transaction; then the branch's head as stored, and the stored commits."""
+    root = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    pages = _pages(spark, d).select("url", "html", F.col("page_id").alias("commit_seq"), F.lit("2024-01-01").cast("timestamp").alias("committed_at"))
+    store.archive(spark, root, pages)
+    n = spark.read.parquet(f"{root}/commits").agg(F.count("*").alias("commits"))
+    return store.refs(spark, root).crossJoin(F.broadcast(n))  # one row each
+
+
+@query(f"WITH {_P}, v AS (SELECT arg_max(normalized_url, page_id) AS last_url, max(page_id) AS last FROM parsed GROUP BY {sql.directory()}) SELECT page_id FROM parsed LEFT JOIN v ON last_url = normalized_url WHERE last IS NULL OR last % 2 = 1")
+def recrawl_not_modified(spark, d):
+    """A second crawl: pages whose last stored version has an even number come with the same etag, others with a new one."""
+    p = _pages(spark, d).withColumn("commit_seq", F.col("page_id")).withColumn("committed_at", F.lit("2024-01-01").cast("timestamp"))
+    stored = store.ingest(p.withColumn("etag", F.concat(F.lit("v"), F.col("page_id").cast("string"))), with_gzip=False, with_markdown=False)
+    parsed = _parsed(spark, d).select("page_id", F.col("u.normalized_url").alias("url"), urls.storage_paths(F.col("u"))["md_path"].alias("p"))
+    last = parsed.groupBy("p").agg(F.max(F.struct("page_id", "url")).alias("m")).select("m.url", F.col("m.page_id").alias("last"))
+    again = parsed.select("page_id", "url").join(last, "url", "left")
+    etag = F.concat(F.when(F.col("last") % 2 == 0, "v").otherwise("w"), F.col("last").cast("string"))
+    return store.not_modified(again.select("page_id", "url", etag.alias("etag")), stored).select("page_id")
+
+
+@query(f"""WITH {_P}, t AS (SELECT page_id, normalized_url AS src, scheme, host, regexp_extract_all({sql.sanitized()} || '<img src="/i/' || page_id || '.png?w=2"><IMG alt="" src="https://cdn.example.org/x.png"><link rel="icon" href="/favicon.ico">', '(?i)<(?:img|link)[^>]*>') AS tags FROM parsed),
+u AS (SELECT page_id, src, scheme, host, unnest(tags) AS tag, generate_subscripts(tags, 1) AS k FROM t),
+v AS (SELECT *, coalesce(nullif(regexp_extract(tag, '(?i)src="([^"]*)', 1), ''), regexp_extract(tag, '(?i)href="([^"]*)', 1)) AS a FROM u)
+SELECT src, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INTEGER) AS pos, regexp_replace(regexp_replace(a, '^.*/', ''), '\\?.*$', '') AS basename FROM v
+WHERE a LIKE '/%' AND a NOT LIKE '//%' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY k) <= 16""")
+def page_assets(spark, d):
+    """The test pages have no images, so each gets two, of which one is on another host, and an icon."""
+    more = F.concat(F.lit('<img src="/i/'), F.col("page_id").cast("string"), F.lit('.png?w=2"><IMG alt="" src="https://cdn.example.org/x.png"><link rel="icon" href="/favicon.ico">'))
+    clean = _pages(spark, d).select("url", F.concat(sanitize_html(F.col("html")), more).alias("html"))
+    return extract.page_assets(clean).select("src", "pos", "basename")
+
+
+def _captures(spark, d):
+    p = _pages(spark, d).withColumn("commit_seq", F.col("page_id")).withColumn("committed_at", F.lit("2024-01-01").cast("timestamp"))
+    return store.ingest(p, with_gzip=False)
+
+
+@query(f"""WITH {_CAPTURES} SELECT 'main' AS branch, commit_seq, url, md_path, md_sha, raw_bytes, markdown_bytes,
+'{{"url":"' || url || '","status_code":200,"crawled_at":"2024-01-01T00:00:00Z","content_type":"text/html; charset=utf-8","etag":"","last_modified":"","server":"","raw_bytes":' || raw_bytes || ',"markdown_bytes":' || markdown_bytes || ',"asset_count":0}}' AS metadata,
+(SELECT count(*) FROM (SELECT DISTINCT src, dst FROM (WITH {sql.links_ctes()} SELECT page_id, src, dst FROM links) l WHERE l.page_id = commit_seq))::INTEGER AS links FROM captures""")
 def ingest_captures(spark, d):
     p = _pages(spark, d).withColumn("commit_seq", F.col("page_id")).withColumn("committed_at", F.lit("2024-01-01").cast("timestamp"))
     return store.ingest(p).select("branch", "commit_seq", "url", "md_path", "md_sha", "raw_bytes", "markdown_bytes", "metadata", F.size("links").alias("links"))
@@ -388,17 +446,20 @@ def ext_streaming_windows(spark, d):
     return _streamed(spark, d, lambda s: capture_log.windowed_counts(s, "1 hour"), "complete")
 
 
-@query()
+@query("""WITH g AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts > p + INTERVAL 30 minutes THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
+SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 minutes AS session_end, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def ext_sessions(spark, d):
-    return capture_log.sessions(table(spark, d, "events"))
+    s = capture_log.sessions(table(spark, d, "events"))
+    return s.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
 def _streamed(spark: SparkSession, d: str, plan: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Run a streaming plan over all of `events` once; only its small windowed result is kept in memory."""
+    """Run a streaming plan over all of `events` once; each batch's whole result replaces the one before in shared storage."""
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*") if os.path.isfile(f"{d}/events.parquet") else spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
-    name = "windows_" + next(tempfile._get_candidate_names())
-    q = plan(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    out = spark.table(name)
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    q = plan(stream).writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out")).outputMode(mode)
+    q.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -1,10 +1,8 @@
-"""SQL twins: the same rules written for DuckDB, independent of the Spark expressions."""
+"""SQL twins: the same rules written out for DuckDB, apart from the Spark expressions; only key lists and the threshold are shared."""
 
 from __future__ import annotations
 
 from webstrata.functions.fuzzy import SEARCH_THRESHOLD
-from webstrata.functions.markdown import ENTITIES
-from webstrata.functions.sanitize import noise_pattern
 from webstrata.functions.urls import PATH_ESCAPES, TRACKING_KEYS
 
 
@@ -52,15 +50,44 @@ def directory() -> str:
 
 
 def sanitized(html: str = "html") -> str:
-    return f"regexp_replace({html}, {lit(noise_pattern())}, '\\1', 'g')"
+    """Noise in rounds, one a rule: comments, elements with their content, volatile fields, invisible images."""
+    rounds = [
+        r"<!--[\s\S]*?-->", r"<(?:script|style|noscript|svg|iframe|canvas)(?:[\s/][^>]*)?>[\s\S]*?</(?:script|style|noscript|svg|iframe|canvas)[^>]*>",
+        r"<input[^>]*(?:csrf|_token|nonce|__viewstate|__eventvalidation|session_id|crumb|ad-container|cookie-banner|optanon-alert-box|consent-banner)[^>]*>",
+        r"<img[^>]*(?:(?:width|height)=(?:\"[01]\"|'[01]'|1 )|display: ?none|visibility: ?hidden)[^>]*>",
+    ]
+    for r in rounds:
+        html = f"regexp_replace({html}, {lit('(?i)' + r)}, '', 'g')"
+    return html
 
 
 def entities(text: str) -> str:
-    for name, char in [*((k, v) for k, v in ENTITIES.items() if k != "amp"), ("amp", "&")]:
-        text = f"replace({text}, {lit(f'&{name};')}, {lit(char)})"
+    """References to characters one by one, those of the ampersand last."""
+    named = {
+        "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&mdash;": "—", "&ndash;": "–",
+        "&hellip;": "…", "&rsquo;": "’", "&lsquo;": "‘", "&ldquo;": "“", "&rdquo;": "”", "&euro;": "€", "&bull;": "•", "&trade;": "™", "&deg;": "°",
+        "&#39;": "'", "&#x27;": "'", "&#x2F;": "/", "&#34;": '"', "&#160;": "\u00a0", "&amp;": "&",
+    }
+    for name, char in named.items():
+        text = f"replace({text}, {lit(name)}, {lit(char)})"
     return text
 
 
+def markdown(html: str) -> str:
+    """Markdown of documents with headings, blocks, flat lists, links and marks, by replacing patterns.
+
+    Control characters stand for: 1 a blank line where the line isn't fresh, 2 a new line there, 3 a line end, 4 a blank that stays."""
+    for pattern, text in [
+        (r"[\s]+", " "), *((rf"(?i)<h{n}(?: [^>]*)?>", "\1" + "#" * n + "\4") for n in range(1, 7)), (r"(?i)</h[1-6]>", "\3\3"),
+        (r"(?i)<(?:p|div|section|article)(?: [^>]*)?>", "\1"), (r"(?i)</(?:p|div|section|article)>", "\3\3"), (r"(?i)</?br ?/?>", "\3"), (r"(?i)</?hr ?/?>", "\3\3---\3\3"),
+        (r"(?i)</?(?:b|strong)>", "**"), (r"(?i)</?(?:i|em)>", "*"), (r"(?i)<ul(?: [^>]*)?>", "\2"), (r"(?i)<li(?: [^>]*)?>", "\2-\4"), (r"(?i)</(?:ul|li)>", "\3"),
+        (r'(?i)<a [^>]*href="([^"]+)"[^>]*>((?:[^<]|<span[^>]*>|</span>)*)</a>', r"[\2](\1)"), (r"<[^>]*>", ""), (r"&nbsp;", "\4"), (r" +", " "), ("(^|[\1-\4]) +", r"\1"),
+        ("(^|\3)[\1\2]+", r"\1"), ("\1[\1\2]*", "\3\3"), ("\2[\1\2]*", "\3"), ("\3", "\n"), ("\4", " "),
+    ]:
+        html = f"regexp_replace({html}, {lit(pattern)}, {lit(text)}, 'g')"
+    return entities(html)
+
+
 def path_of(rel: str) -> str:
     return f"'/' || array_to_string(list_filter(string_split({rel}, '/'), lambda x: x <> '' AND x <> '.' AND x <> '..'), '/')"
 

@@ -60,3 +60,25 @@ class _HttpReader(DataSourceReader):
             yield (partition.value, e.code, "", "", "", "", e.read().decode("utf-8", "replace"))
         except OSError:
             yield (partition.value, 0, "", "", "", "", None)
+
+
+class HttpRobots(DataSource):
+    """spark.read.format("http_robots").option("sites", "https://a\\nhttp://b:81"): (host, body) of each site's robots.txt, whatever the
+    status; a failed fetch has an empty body, which allows all."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "http_robots"
+
+    def schema(self) -> str:
+        return "host string, body string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _RobotsReader({"timeout": 30} | dict(self.options) | {"urls": self.options.get("sites", "")})
+
+
+class _RobotsReader(_HttpReader):
+    def read(self, partition: InputPartition):
+        site = partition.value.rstrip("/")
+        for row in super().read(InputPartition(f"{site}/robots.txt")):
+            yield (site.split("://", 1)[-1].rsplit("@", 1)[-1].lower(), row[-1] or "")

@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Only where it is unset (a single machine, tests) a local one is made up."""
+    """spark.checkpoint.dir of the session. Only where it is unset, on a single machine (tests), a local one is made up."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
     return root.rstrip("/")
 
