@@ -231,7 +231,7 @@ def test_quality_counts_and_mergeable_sketch(spark):
 
 def test_sharding_balance_and_versions(spark, tmp_path):
     weights = [(k * 7919) % 1000 + 1 for k in range(4096)]
-    one = sharding.first_map(weights, 24)
+    one = sharding.rebalanced(sharding.first_map(), weights, 24)
     loads = np.bincount(one, weights=weights)
     assert loads.max() - loads.min() <= 1000
     heavier = [w * (4 if s == 0 else 1) for w, s in zip(weights, one, strict=True)]
@@ -244,6 +244,29 @@ def test_sharding_balance_and_versions(spark, tmp_path):
     assert [r.shard for r in sharding.load_map(spark, str(tmp_path / "map"), 1).orderBy("virtual_slot").collect()] == one
 
 
+def test_sharding_against_brute_force(spark, tmp_path, monkeypatch):
+    """Sizes, checksums and gapless places of every record; the stored map is edited and most slots stay; a hot id is spread."""
+    monkeypatch.setattr(sharding, "PART_ROWS", 50)
+    df, docs = docs_of(spark)
+    hot = df.select(F.lit(-1).cast("long").alias("doc_id"), F.lit("same").alias("text")).unionAll(df.select("doc_id", "text"))
+    want = collections.Counter((k, len(t.encode()) + 8, zlib.crc32(t.encode())) for k, t in [*docs, *[(-1, "same")] * len(docs)])
+    path = str(tmp_path / "map")
+    rows = sharding.shard(hot, path=path).collect()
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+    places, loads = collections.defaultdict(list), collections.Counter()
+    for r in rows:
+        places[r.shard].append(r.slot)
+        loads[r.shard] += r.size
+    assert all(sorted(v) == list(range(len(v))) for v in places.values()) and set(places) == set(range(24))
+    mean, largest = sum(loads.values()) / 24, max(r.size for r in rows)
+    assert max(loads.values()) <= mean * 1.01 + largest and len({r.shard for r in rows if r.doc_id == -1}) > 12
+    assert sharding.latest_version(spark, path) == 2 and {r.map_version for r in rows} == {2}
+    more = sharding.shard(df.withColumn("text", F.when(F.col("doc_id") < 5, F.repeat("text", 3)).otherwise(F.col("text"))), path=path).collect()
+    assert {r.map_version for r in more} == {3} and len(more) == len(docs)
+    old, new = ([r.shard for r in sharding.load_map(spark, path, v).orderBy("virtual_slot").collect()] for v in (2, 3))
+    assert sum(a == b for a, b in zip(old, new, strict=True)) > 3000
+
+
 def test_pii_labelers_and_redaction(spark):
     df = spark.createDataFrame([(1, "tel: (212) 555-1234. mail joe [at] site [dot] com a@b.c+d@e.f"), (2, "1 " * 30_000), (3, "a" * 100_000 + "@")], "doc_id long, text string")
     got = {r.doc_id: r for r in pii.op7(spark, df).collect()}
