@@ -415,6 +415,36 @@ def test_quotes(spark):
     assert (got[1, 1].text, got[1, 2].max_level, got[2, 0].text) == ("Fine.", 2, "")
 
 
+def test_quotes_against_sql(spark):
+    """Quotes that are wrapped anew, cut, nested, or of nobody; long chains; odd rows."""
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    rows, said = [], collections.defaultdict(list)
+    for c in range(12):
+        for turn in range(25):
+            words = [f"{x}{c}" if rng.random() < 0.5 else x for x in rng.choice(["Stone", "river", "öde", "7", "blue"], 14)]
+            own = f"{' '.join(words[:6])} {turn}. {' '.join(words[6:])}!\n\nBye {turn % 3}"
+            lines = []
+            for _ in range(int(rng.integers(0, 3)) if turn else 0):
+                old, depth = said[c][int(rng.integers(0, turn))], int(rng.integers(1, 4))
+                text = old.split("\n")[0] if rng.random() < 0.5 else old
+                if rng.random() < 0.5:
+                    text = text.replace(" ", "\n", 1)
+                lines += [">" * depth + " " + x for x in text.split("\n")] + ["On Monday, B wrote:"] * int(rng.integers(0, 2))
+            rows.append((c, turn, rng.choice(["user", "assistant"]).item(), "\n".join([*lines, own])))
+            said[c].append(own)
+    rows += [(50, k, "user", f"> step {k - 1}\nstep {k}") for k in range(40)] + [(None, 1, "a", "> x"), (3, None, None, "y"), (51, 0, None, None), (51, 0, None, None), (51, 1, "b", "\r\n> \r\nz")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({x: F.lit("c") for x in ("level", "p", "thread", "origin", "lines", "position")})
+    out = quotes.op6(spark, df)
+    got = sorted(repr(tuple(r)) for r in out.collect())
+    conversations = df.select("conv_id", "turn", "role", "text").toArrow()  # noqa: F841
+    cur = duckdb.sql(quotes.SQL)
+    assert cur.columns == out.columns
+    assert got == sorted(repr(r) for r in cur.fetchall())
+    assert any("2:" in r.quotes for r in out.collect()) and max(r.depth for r in out.collect()) == 39
+
+
 def test_arrow_batches_are_small(spark):
     common.prepare(spark)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(common.BATCH_ROWS)

@@ -22,8 +22,4 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_arrays": lambda s, d: decontam.op9(s, table(s, d, "documents"), table(s, d, "benchmark")),
     "op10_subword_embeddings": lambda s, d: classifier.op10(s, table(s, d, "documents"), table(s, d, "labels")),
 }
-SQL: dict[str, str] = {
-    # The test table's messages quote nobody, so each is a thread of its own; quotes are tested on a fixture.
-    "op6_quotation_linking": r"""SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS text,
-      0::BIGINT AS n_quoted, 0 AS max_level, NULL::BIGINT AS reply_to, turn AS thread, 0::BIGINT AS depth FROM conversations""",
-}
+SQL: dict[str, str] = {"op6_quotation_linking": quotes.SQL}
