@@ -562,3 +562,51 @@ def test_extraction_depends_on_the_wrapper(spark):
     got = {r.page_id: r for r in extraction.op5(spark, df).collect()}
     assert (got[0].text, got[0].n_template) == ("Story 0 is told", 1)
     assert (got[10].text, got[10].n_template) == ("Terms apply to all readers\nStory 0 is told", 0)
+
+
+def small_tables(spark, path, docs):
+    """documents and a benchmark of two items in a folder of their own."""
+    spark.createDataFrame(docs, SCHEMA).write.parquet(str(path / "documents.parquet"))
+    items = [(1, "one two three four five six seven eight nine ten"), (2, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(path / "benchmark.parquet"))
+    return str(path)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage's decision on a small table: junk, copies, a leak, personal data; then every id of what is left is packed once."""
+    import corpus_pipeline
+
+    texts = {k: " ".join(f"{'abcdefgh'[k]}{i}" for i in range(40)) for k in range(6)}
+    docs = [(k, t, "en", "a", len(t)) for k, t in texts.items()]
+    docs += [(10, texts[0] + " more", "en", "a", 1), (11, texts[0], "en", "a", 1), (11, texts[0], "en", "a", 1), (12, "x " * 30, "en", "b", 1), (13, None, None, None, None), (14, "", "en", "a", 0)]
+    docs += [(15, texts[1].replace("b", "k") + " two three four five six seven eight nine ten", "de", "a", 1), (16, texts[2].replace("c", "m") + " mail a@b.org now", "de", None, 1)]
+    rows = corpus_pipeline.run(spark, small_tables(spark, tmp_path, docs)).collect()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_file())
+    want = texts | {16: texts[2].replace("c", "m") + " mail <EMAIL> now"}
+    assert {r.doc_id: r.doc_tokens for r in rows} == {k: len(t.encode(x, add_special_tokens=False).ids) + 1 for k, x in want.items()}
+    assert sorted(r.doc_id for r in rows if r.start == 0) == sorted(want)
+
+
+def test_pipeline_of_empty_and_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    (tmp_path / "none").mkdir()
+    (tmp_path / "odd").mkdir()
+    assert corpus_pipeline.run(spark, small_tables(spark, tmp_path / "none", [])).count() == 0
+    left = {r.doc_id for r in corpus_pipeline.run(spark, small_tables(spark, tmp_path / "odd", ODD)).collect()}
+    assert left == {1} or left == {1, 5}
+    assert packing.stage(spark, spark.createDataFrame(ODD, SCHEMA).withColumns({c: F.lit(1) for c in ("part", "left", "ids", "start")}), SF).count() >= len(ODD)
+
+
+def test_doubled_suffixes_are_sorted():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["a", "b", "c"], int(rng.integers(0, 40)))).encode() for _ in range(30)] + [b"a " * 200, b"a " * 200, b"", b"x"]
+    s = decontam.shard_of(texts)
+    suffixes = [s.tokens[i:].tolist() for i in range(len(s.tokens))]
+    assert s.order.tolist() == sorted(range(len(suffixes)), key=suffixes.__getitem__)
+    bench = decontam.prepared([(7, "q a b c a b c a b c a"), (8, "x")])
+    n, runs, items, best, at, item = decontam.search(decontam.shard_of([b"c a b c a b c a b c a b", b"x", b"a"]), bench)
+    assert (n, runs, items) == ([12, 1, 1], [[0, 12], [0, 1], []], [[0], [1], []])
+    assert (best, at, item) == ([10, 1, 0], [1, 0, -1], [0, 1, -1])
