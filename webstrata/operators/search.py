@@ -12,7 +12,9 @@ def scored(paths: DataFrame, query: str, fuzzy: bool = False, path: str = "path"
     """All matches with their scores."""
     c = F.col(path)
     if fuzzy:
-        return paths.withColumn("score", similarity(query, c)).where(F.col("score") >= SEARCH_THRESHOLD)
+        # As a generator the score is computed once a row; a filter over it would be pushed below and compute it again.
+        good = F.filter(F.array(similarity(query, c)), lambda x: x >= SEARCH_THRESHOLD)
+        return paths.select(*paths.columns, F.explode(good).alias("score"))
     low = lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return paths.where(F.contains(low(c), low(F.lit(query)))).withColumn("score", F.lit(1.0))
 
