@@ -84,6 +84,8 @@ class Unigrams:
     def __post_init__(self) -> None:
         per = np.diff(np.concatenate([[0], self.ends]))
         self.size = int(self.ends[-1]) if len(self.ends) else 0
+        if self.size > 2**31 - 2:
+            raise ValueError("word numbers take 31 bits")
         self.total = int((self.values * per).sum())
         n = [0.0] * (TOP + 2)
         for v, k in zip(self.values, per, strict=True):
@@ -123,6 +125,8 @@ def blocked(docs: DataFrame) -> DataFrame:
                 tokens.append(np.array([number(w, len(words)) for w in split], np.int64))
                 lengths.append(len(split))
             train = np.array(t.column("train").to_pylist(), bool)
+            if k >= 1 << 12 or len(words) > 1 << 23:
+                raise ValueError("more than 4,096 blocks in a task or 2 ** 23 words in a block: use more, smaller partitions")
             flat = np.concatenate(tokens)
             counts = np.bincount(flat[np.repeat(train, lengths)], minlength=len(words))
             hashed = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64).view(np.int64)
