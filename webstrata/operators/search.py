@@ -12,6 +12,8 @@ def scored(paths: DataFrame, query: str, fuzzy: bool = False, path: str = "path"
     """All matches with their scores."""
     c = F.col(path)
     if fuzzy:
+        # A score costs far more than its path's shuffle; without this, small partitions of paths are merged into few tasks.
+        paths = paths.repartition(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         # As a generator the score is computed once a row; a filter over it would be pushed below and compute it again.
         good = F.filter(F.array(similarity(query, c)), lambda x: x >= SEARCH_THRESHOLD)
         return paths.select(*paths.columns, F.explode(good).alias("score"))

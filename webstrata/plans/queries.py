@@ -14,7 +14,7 @@ from webstrata.functions.markdown import decode_entities, html_to_markdown
 from webstrata.functions.sanitize import sanitize_html
 from webstrata.operators import crawl, history, search, store
 from webstrata.plans import sql
-from webstrata.sources.tables import materialise, shared_dir, table
+from webstrata.sources.tables import materialise, shared_dir, spread_out, table
 from webstrata.streaming import capture_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +35,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages")
+    return spread_out(table(spark, d, "pages"))
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
@@ -312,9 +312,18 @@ def latest_version(spark, d):
     return store.as_of(_versions(spark, d)).select("md_path", "commit_seq", "md_sha")
 
 
-@query(f"WITH {_V} SELECT md_path, max(commit_seq) AS commit_seq, arg_max(sha1(markdown), commit_seq) AS md_sha FROM versions WHERE commit_seq <= 120 GROUP BY md_path")
+_MIDDLE = "(SELECT max(commit_seq) // 2 FROM versions)"
+
+
+def _middle(versions: DataFrame) -> int:
+    """The commit half way to the last one; 0 for an empty store."""
+    return (versions.agg(F.max("commit_seq").alias("last")).first()["last"] or 0) // 2
+
+
+@query(f"WITH {_V} SELECT md_path, max(commit_seq) AS commit_seq, arg_max(sha1(markdown), commit_seq) AS md_sha FROM versions WHERE commit_seq <= {_MIDDLE} GROUP BY md_path")
 def as_of_version(spark, d):
-    return store.as_of(_versions(spark, d), 120).select("md_path", "commit_seq", "md_sha")
+    v = _versions(spark, d)
+    return store.as_of(v, _middle(v)).select("md_path", "commit_seq", "md_sha")
 
 
 @query(f"WITH {_V}, w AS (SELECT *, sha1(markdown) AS md_sha, lag(markdown) OVER (PARTITION BY md_path ORDER BY commit_seq) AS b FROM versions) SELECT md_path, commit_seq, md_sha, len(string_split(markdown, chr(10)))::INTEGER AS lines, coalesce(len(string_split(b, chr(10))), 0)::INTEGER AS lines_before FROM w WHERE b IS NULL OR b <> markdown")
@@ -332,17 +341,14 @@ def unchanged_skipped(spark, d):
     return kept.select("user_id", F.col("commit_seq").alias("event_id"), "event_type")
 
 
-@query("""WITH l AS (SELECT user_id % 50 AS k, event_type || chr(10) || (event_id % 7) AS t, event_id FROM events),
-old AS (SELECT k, unnest(string_split(arg_max(t, event_id), chr(10))) AS line FROM l WHERE event_id <= 500 GROUP BY k),
-new AS (SELECT k, unnest(string_split(arg_max(t, event_id), chr(10))) AS line FROM l GROUP BY k),
-n AS (SELECT k, line, sum(s) AS n FROM (SELECT k, line, 1 AS s FROM new UNION ALL SELECT k, line, -1 FROM old) GROUP BY k, line)
-SELECT k::VARCHAR AS md_path, sum(greatest(n, 0))::BIGINT AS added, sum(greatest(-n, 0))::BIGINT AS removed FROM n GROUP BY k""")
+@query(f"""WITH {_V},
+old AS (SELECT md_path, unnest(string_split(arg_max(markdown, commit_seq), chr(10))) AS line FROM versions WHERE commit_seq <= {_MIDDLE} GROUP BY md_path),
+new AS (SELECT md_path, unnest(string_split(arg_max(markdown, commit_seq), chr(10))) AS line FROM versions GROUP BY md_path),
+n AS (SELECT md_path, line, sum(s) AS n FROM (SELECT md_path, line, 1 AS s FROM new UNION ALL SELECT md_path, line, -1 FROM old) GROUP BY md_path, line)
+SELECT md_path, sum(greatest(n, 0))::BIGINT AS added, sum(greatest(-n, 0))::BIGINT AS removed FROM n GROUP BY md_path""")
 def version_diff_counts(spark, d):
-    e = table(spark, d, "events").select(
-        F.lit("main").alias("branch"), F.col("event_id").alias("commit_seq"), (F.col("user_id") % 50).cast("string").alias("md_path"),
-        F.concat_ws("\n", "event_type", (F.col("event_id") % 7).cast("string")).alias("markdown"),
-    )
-    return history.line_changes(store.as_of(e, 500), store.as_of(e))
+    v = _versions(spark, d)
+    return history.line_changes(store.as_of(v, _middle(v)), store.as_of(v))
 
 
 @query()

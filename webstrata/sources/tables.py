@@ -13,6 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Inputs up to this size are dealt to all cores before work that is heavy for each row.
+SMALL_BYTES = 1 << 30
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """A small input in as many partitions as there are cores: a file of one row group is one task otherwise. Larger inputs, and those
+    of as many files as cores, stay as they are read, so the shuffle is never of more than SMALL_BYTES."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if size > SMALL_BYTES or len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. Only where it is unset, on a single machine (tests), a local one is made up."""
     root = spark.conf.get("spark.checkpoint.dir", None)
