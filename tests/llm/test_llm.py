@@ -108,6 +108,9 @@ def test_lm_against_brute_force_and_normalised(spark):
         pairs.update(zip(["<s>", *T[k]], T[k], strict=False))
     counts = uni | collections.Counter({"<s>": len(train)})
     N, V = sum(uni.values()), len(uni)
+    number = {r.number: r.c for r in m.words.collect()}
+    stored = lm.bigrams(m).collect()
+    assert sorted(r.c for r in stored) == sorted(pairs.values()) and all(r.c <= number[r.w] for r in stored)
     n1, n2 = collections.Counter(uni.values()), collections.Counter(pairs.values())
     d1, d2 = (lm.discounts([0, *(n[i] for i in range(1, 7))]) for n in (n1, n2))
     kept = {w: (d1[c] if c <= 5 else 1) * c for w, c in uni.items()}

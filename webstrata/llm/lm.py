@@ -8,9 +8,10 @@ impossible, and a(h) makes the sum over all words and the unknown one exactly 1.
 weight 1. A text's first history is a start mark; its last token is an end mark.
 
 How it runs: a task turns a block of texts (BLOCK_BYTES) into numbers of a dictionary of its own. Dictionaries meet in one
-aggregation, words are numbered by falling count, numbers go back to the blocks. A block sends its bigrams, with
-the document each stands in, to buckets by history (histories that could fill a bucket: by both words), as
-sorted, compressed arrays. A bucket counts training bigrams, and for each document sums what is seen and lists what backs
+aggregation, words are numbered by falling count, numbers go back to the blocks. A block sends each of its distinct bigrams once, with its
+training count there, to a bucket by history (histories that could fill a bucket: by both words), as sorted, compressed arrays. So the
+most frequent bigram costs its bucket one entry a block, not one an occurrence. A bucket adds up and returns to each block
+the totals of its bigrams, in the order they came; the block then scores its documents and lists what backs
 off. Counts of counts have at most sqrt(2 N) rows, so the count of a word follows from its number everywhere.
 
 Defined cases: null text is empty and has the end mark alone; a null id counts as empty text for the fold; repeated rows are
@@ -19,7 +20,7 @@ learned and scored each; with no training rows every text has probability 1; an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,12 +38,15 @@ FOLDS, HELD_OUT = 5, 1
 TOP = 5
 #: Tokens a bucket is meant to hold.
 BUCKET_TOKENS = 1_500_000
-DOCS, SUMS, BACK, HISTORY, MODEL, COUNTS = range(6)
+TOTALS, HISTORY, MODEL, COUNTS = range(4)
+SCORE, BACK = range(2)
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _END = b""
-PART = "kind int, block long, h long, doc int, n long, x array<long>, s double, data binary"
-PART_NAMES = ["kind", "block", "h", "doc", "n", "x", "s", "data"]
+PART = {"kind": pa.int32(), "bucket": pa.int64(), "block": pa.int64(), "h": pa.int64(), "n": pa.int64(), "x": pa.list_(pa.int64()), "s": pa.float64(), "data": pa.binary()}
+PART_SCHEMA = "kind int, bucket long, block long, h long, n long, x array<long>, s double, data binary"
+SCORED = {"kind": pa.int32(), "block": pa.int64(), "doc": pa.int32(), "h": pa.int64(), "n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "s": pa.float64()}
+SCORED_SCHEMA = "kind int, block long, doc int, h long, n long, known long, base double, s double"
 
 
 def squeezed(*arrays: np.ndarray) -> bytes:
@@ -57,6 +61,15 @@ def unsqueezed(data: bytes, arrays: int) -> np.ndarray:
     return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4").reshape(arrays, -1).astype(np.int64)
 
 
+def wide(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit counts as two 32-bit arrays: a bigram can be seen more than 2 ** 32 times."""
+    return x & 0xFFFFFFFF, x >> 32
+
+
+def narrow(halves: np.ndarray) -> np.ndarray:
+    return halves[0] | halves[1] << 32
+
+
 def discounts(n: list[float], top: int = TOP) -> np.ndarray:
     """d(0) to d(top) from the counts of counts n[1] to n[top + 1].
 
@@ -156,107 +169,130 @@ def numbered(words: DataFrame) -> DataFrame:
     return ranged.join(F.broadcast(offsets), "p").select("word", "c", (F.col("before") + F.col("i")).alias("number"))
 
 
-def part_table(kind: int, rows: int, **columns) -> pa.Table:
-    types = {"kind": pa.int32(), "block": pa.int64(), "h": pa.int64(), "doc": pa.int32(), "n": pa.int64(), "x": pa.list_(pa.int64()), "s": pa.float64(), "data": pa.binary()}
-    return pa.table(
-        [pa.array(np.full(rows, kind, np.int32)) if k == "kind" else pa.array(columns[k], t) if k in columns else pa.nulls(rows, t) for k, t in types.items()], names=PART_NAMES
-    )
+def tabled(types: dict, kind: int, rows: int, **columns) -> pa.Table:
+    """Rows of one kind; columns not given are null."""
+    columns["kind"] = np.full(rows, kind, np.int32)
+    return pa.table([pa.array(columns[k], t) if k in columns else pa.nulls(rows, t) for k, t in types.items()], names=list(types))
+
 
+def is_hot(uni: Unigrams, buckets: int, h: np.ndarray) -> np.ndarray:
+    """Histories that could fill a bucket."""
+    return uni.count(h) > max(1, uni.total // (8 * buckets))
+
+
+@dataclass
+class Bigrams:
+    """A block's tokens after seen histories, and its distinct bigrams by bucket, history and word."""
+
+    doc: np.ndarray  # of each token
+    at: np.ndarray  # each token's bigram
+    h: np.ndarray  # of each bigram
+    w: np.ndarray
+    bucket: np.ndarray
+
+
+def bigrams_of(uni: Unigrams, buckets: int, doc: np.ndarray, h: np.ndarray, w: np.ndarray) -> Bigrams:
+    seen = uni.count(h) > 0
+    doc = doc[seen]
+    pair, at = np.unique(h[seen] << 32 | w[seen], return_inverse=True)
+    h, w = pair >> 32, pair & 0xFFFFFFFF
+    key, hot = h.astype(np.uint64), is_hot(uni, buckets, h)
+    key[hot] ^= mix(w[hot].astype(np.uint64))
+    bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return Bigrams(doc, rank[at], h[order], w[order], bucket[order])
 
-def sent(uni: Unigrams, buckets: int, row: dict) -> Iterator[tuple[int, pa.Table]]:
-    """What a block sends: (bucket, rows). Documents' own figures go along to any bucket."""
+
+def histories(uni: Unigrams, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths of a block's documents, document, history and word of each token)."""
     lengths = np.array(row["lengths"], np.int64)
-    numbers = np.full(row["size"], uni.size, np.int64)
-    told = np.array(row["told"], np.int64)
-    numbers[told >> 40] = told & ((1 << 40) - 1)
-    w = numbers[unsqueezed(row["tokens"], 1)[0]]
-    first = np.cumsum(lengths) - lengths
+    w = unsqueezed(row["tokens"], 1)[0]
     h = np.empty_like(w)
     h[1:] = w[:-1]
-    h[first] = uni.size + 1
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    level = uni.level(w)
-    known = np.bincount(doc, weights=level < len(uni.values), minlength=len(lengths))
-    base = np.bincount(doc, weights=uni.base[level], minlength=len(lengths))
-    lost = uni.count(h) == 0  # histories never seen
-    alone = np.bincount(doc[lost], weights=uni.log[level[lost]], minlength=len(lengths))
-    figures = np.stack([lengths.astype(float), known, base, alone]).astype("<f8").tobytes()
-    yield row["block"] % buckets, part_table(DOCS, 1, block=[row["block"]], data=[figures])
-    h, w, doc = h[~lost], w[~lost], doc[~lost]
-    hot = uni.count(h) > max(1, uni.total // (8 * buckets))
-    key = h.astype(np.uint64)
-    key[hot] ^= mix(w[hot].astype(np.uint64))
-    bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((doc, w, h, bucket))
-    h, w, doc, bucket = h[order], w[order], doc[order], bucket[order]
-    mark = doc * 2 + np.array(row["train"], np.int64)[doc]
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, np.int64)
-    for a, b in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
-        data = squeezed(np.diff(h[a:b], prepend=0), w[a:b], mark[a:b])
-        yield int(bucket[a]), part_table(SUMS, 1, block=[row["block"]], data=[data])
+    h[np.cumsum(lengths) - lengths] = uni.size + 1
+    return lengths, np.repeat(np.arange(len(lengths)), lengths), h, w
+
+
+def sent(uni: Unigrams, buckets: int, row: dict) -> Iterator[tuple[int, bytes]]:
+    """What a block sends to a bucket: its bigrams with their training counts."""
+    g = bigrams_of(uni, buckets, *histories(uni, row)[1:])
+    count = np.bincount(g.at, weights=np.array(row["train"], bool)[g.doc], minlength=len(g.h)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(g.bucket, prepend=-1))
+    for a, b in zip(cuts, np.append(cuts[1:], len(g.bucket)), strict=True):
+        yield int(g.bucket[a]), squeezed(np.diff(g.h[a:b], prepend=0), g.w[a:b], count[a:b])
 
 
 def counted(uni: Unigrams, buckets: int, t: pa.Table, keep_model: bool) -> list[pa.Table]:
-    """A bucket's answer. Seen bigrams add log10(r / (c(h) + 1)) and are tallied by r for the discount; others back off."""
-    kinds = np.asarray(t.column("kind"))
-    out = [t.filter(pa.array(kinds == DOCS)).select(PART_NAMES)]
-    pairs = t.filter(pa.array(kinds == SUMS))
-    if pairs.num_rows == 0:
-        return out
-    parts = [unsqueezed(d, 3) for d in pairs.column("data").to_pylist()]
-    size = np.array([p.shape[1] for p in parts])
-    block = np.repeat(np.arange(len(parts)), size)
-    names = np.asarray(pairs.column("block"))
-    h = np.concatenate([np.cumsum(p[0]) for p in parts])
-    w = np.concatenate([p[1] for p in parts])
-    mark = np.concatenate([p[2] for p in parts])
-    key = h << 32 | w
-    order = np.argsort(key, kind="stable")
-    new = np.diff(key[order], prepend=-1) != 0
-    which = np.empty(len(key), np.int64)
-    which[order] = np.cumsum(new) - 1
-    pair = key[order][new]
-    r_of = np.bincount(which, weights=mark & 1, minlength=len(pair)).astype(np.int64)
-    h_of, w_of = pair >> 32, pair & 0xFFFFFFFF
-    ch = uni.count(h_of)
-    r = r_of[which]
-    doc, docs = mark >> 1, (mark >> 1).max() + 1
-    # Sums by document.
-    at = block * docs + doc
-    there, place = np.unique(at, return_inverse=True)
-    with np.errstate(divide="ignore"):
-        value = np.where(r > 0, np.log10(r) - np.log10(ch[which] + 1.0), uni.log[uni.level(w)])
-    total = np.bincount(place, weights=value, minlength=len(there))
-    tally = np.stack([np.bincount(place, weights=r == k, minlength=len(there)) for k in range(1, TOP + 1)])
-    cut = np.searchsorted(there, np.arange(len(parts) + 1) * docs)
-    for k in range(len(parts)):
-        a, b = cut[k], cut[k + 1]
-        figures = np.concatenate([(there[a:b] - k * docs)[None].astype(float), total[None, a:b], tally[:, a:b]]).astype("<f8")
-        packed = zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(figures.reshape(-1, 1).view(np.uint8).reshape(-1, 8).T).tobytes())
-        out.append(part_table(SUMS, 1, block=[int(names[k])], data=[packed]))
-    # Backing off, by history and document.
-    off = r == 0
-    code = np.unique(np.stack([h[off], at[off]]), axis=1, return_counts=True) if off.any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-    (bh, ba), n = code
-    out.append(part_table(BACK, len(n), block=names[ba // docs].astype(np.int64), h=bh, doc=(ba % docs).astype(np.int32), n=n))
-    # Histories that need a weight: of seen words, the tally by r and the probability without history.
-    seen = r_of > 0
-    hot = uni.count(h_of) > max(1, uni.total // (8 * buckets))
-    need = seen & (hot | np.isin(h_of, bh))
-    hs, place = np.unique(h_of[need], return_inverse=True)
-    share = np.bincount(place, weights=10.0 ** uni.log[uni.level(w_of[need])], minlength=len(hs))
-    tally = np.stack([np.bincount(place, weights=r_of[need] == k, minlength=len(hs)) for k in range(1, TOP + 1)]).astype(np.int64)
+    """A bucket's answer: to each block the totals of its bigrams, and what the histories' weights need."""
+    parts = [unsqueezed(d, 3) for d in t.column("data").to_pylist()]
+    names, bucket = t.column("block").to_pylist(), t.column("bucket")[0].as_py()
+    key = np.concatenate([np.cumsum(p[0]) << 32 | p[1] for p in parts])
+    pair, which = np.unique(key, return_inverse=True)
+    r = np.bincount(which, weights=np.concatenate([p[2] for p in parts]), minlength=len(pair)).astype(np.int64)
+    cut = np.append(0, np.cumsum([p.shape[1] for p in parts]))
+    data = [squeezed(*wide(r[which[a:b]])) for a, b in zip(cut, cut[1:], strict=False)]
+    out = [tabled(PART, TOTALS, len(parts), bucket=[bucket] * len(parts), block=names, data=data)]
+    # Histories that need a weight, as they back off: of seen words, the tally by r and the probability without history.
+    h, w, seen = pair >> 32, pair & 0xFFFFFFFF, r > 0
+    need = seen & (is_hot(uni, buckets, h) | np.isin(h, h[~seen]))
+    hs, place = np.unique(h[need], return_inverse=True)
+    share = np.bincount(place, weights=10.0 ** uni.log[uni.level(w[need])], minlength=len(hs))
+    tally = np.stack([np.bincount(place, weights=r[need] == k, minlength=len(hs)) for k in range(1, TOP + 1)]).astype(np.int64)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tally.size + 1, TOP), pa.int32()), pa.array(np.ascontiguousarray(tally.T).ravel()))
-    out.append(part_table(HISTORY, len(hs), h=hs, n=uni.count(hs), s=share, x=lists))
-    out.append(part_table(COUNTS, 1, x=[[int((r_of == k).sum()) for k in range(1, TOP + 2)]]))
+    out.append(tabled(PART, HISTORY, len(hs), h=hs, n=uni.count(hs), s=share, x=lists))
+    out.append(tabled(PART, COUNTS, 1, x=[[int((r == k).sum()) for k in range(1, TOP + 2)]]))
     if keep_model:
-        out.append(part_table(MODEL, 1, n=[int(seen.sum())], data=[squeezed(np.diff(h_of[seen], prepend=0), w_of[seen], r_of[seen])]))
+        data = squeezed(np.diff(h[seen], prepend=0), w[seen], *wide(r[seen]))
+        out.append(tabled(PART, MODEL, 1, bucket=[bucket], n=[int(seen.sum())], data=[data]))
     return out
 
 
+def judged(uni: Unigrams, buckets: int, d: np.ndarray, row: dict) -> list[pa.Table]:
+    """A block's documents: figures without backoff weights, and how often which history backs off.
+
+    A bigram seen r times adds log10(d(r) r / (c(h) + 1)), another the word's own probability."""
+    lengths, doc, h, w = histories(uni, row)
+    n, level = len(lengths), uni.level(w)
+    known = np.bincount(doc, weights=level < len(uni.values), minlength=n).astype(np.int64)
+    base = np.bincount(doc, weights=uni.base[level], minlength=n)
+    lost = uni.count(h) == 0  # histories never seen
+    score = np.bincount(doc[lost], weights=uni.log[level[lost]], minlength=n).astype(float)  # an empty count is of integers
+    g = bigrams_of(uni, buckets, doc, h, w)
+    parts = sorted(row["totals"] or [], key=lambda x: x["bucket"])
+    r = np.concatenate([narrow(unsqueezed(x["data"], 2)) for x in parts]) if parts else np.zeros(0, np.int64)
+    if len(r) != len(g.h):
+        raise ValueError("totals don't fit the block's bigrams")
+    kept = np.where(r <= TOP, d[np.minimum(r, TOP)], 1.0) * r
+    with np.errstate(divide="ignore"):
+        value = np.where(r > 0, np.log10(kept) - np.log10(uni.count(g.h) + 1.0), uni.log[uni.level(g.w)])
+    score += np.bincount(g.doc, weights=value[g.at], minlength=n)
+    off = r[g.at] == 0
+    back, times = np.unique(g.h[g.at[off]] << 32 | g.doc[off], return_counts=True)
+    block = row["block"]
+    return [
+        tabled(SCORED, SCORE, n, block=[block] * n, doc=np.arange(n), n=lengths, known=known, base=base, s=score),
+        tabled(SCORED, BACK, len(back), block=[block] * len(back), doc=back & 0xFFFFFFFF, h=back >> 32, n=times),
+    ]
+
+
+def by_row(df: DataFrame, f: Callable[[dict], Iterator[pa.Table]], schema: str) -> DataFrame:
+    """mapInArrow over single rows, each a block of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                for t in f(b.slice(k, 1).to_pylist()[0]):
+                    yield from t.to_batches()
+
+    return df.mapInArrow(run, schema)
+
+
 @dataclass
 class Model:
-    """The stored tables: words (word, c, number), parts (bigram counts by bucket under kind MODEL), weights (h, log_alpha)."""
+    """The stored tables: words (word, c, number), parts (kind MODEL: bigram counts by bucket, TOTALS: what blocks are told), weights
+    (h, log_alpha), blocks (ids, folds, lengths and word numbers of their documents)."""
 
     words: DataFrame
     parts: DataFrame
@@ -264,6 +300,7 @@ class Model:
     blocks: DataFrame
     uni: Unigrams
     d: np.ndarray
+    buckets: int
 
 
 def fitted(docs: DataFrame, keep_model: bool = True, bucket_tokens: int = BUCKET_TOKENS) -> Model:
@@ -282,59 +319,59 @@ def fitted(docs: DataFrame, keep_model: bool = True, bucket_tokens: int = BUCKET
     asked = block_rows.select("block", F.posexplode("words").alias("at", "word"))
     asked = asked.select((F.shiftleft("block", 24) + F.col("at")).alias("place"), "word").join(words.select("word", "number"), "word")
     told = asked.select(F.shiftright("place", 24).alias("block"), (F.shiftleft(F.col("place").bitwiseAND((1 << 24) - 1), 40) + F.col("number")).alias("e"))
-    told = materialise(told.groupBy("block").agg(F.collect_list("e").alias("told")), "lm-told")
-    full = block_rows.select("block", "train", "lengths", "tokens", F.size("words").alias("size")).join(told, "block", "left")
-    full = full.withColumn("told", F.coalesce("told", F.array().cast("array<long>")))
+    told = told.groupBy("block").agg(F.collect_list("e").alias("told"))
+    full = block_rows.select("block", "lengths", "tokens", F.size("words").alias("size")).join(told, "block", "left")
     shared = spark.sparkContext.broadcast(uni)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):  # a row is a block
-                row = b.slice(k, 1).to_pylist()[0]
-                for bucket, t in sent(shared.value, buckets, row):
-                    yield from t.append_column("bucket", pa.array([bucket], pa.int64())).to_batches()
+    def renumber(row: dict) -> Iterator[pa.Table]:
+        numbers = np.full(row["size"], shared.value.size, np.int64)
+        told = np.array(row["told"] or [], np.int64)
+        numbers[told >> 40] = told & ((1 << 40) - 1)
+        tokens = squeezed(numbers[unsqueezed(row["tokens"], 1)[0]])
+        yield pa.table([pa.array([row["block"]]), pa.array([row["lengths"]], pa.list_(pa.int32())), pa.array([tokens])], names=["block", "lengths", "tokens"])
+
+    numbers = by_row(full, renumber, "block long, lengths array<int>, tokens binary").withColumnRenamed("block", "_block")
+    ids = block_rows.select("block", "ids", "train")
+    numbers = materialise(ids.join(numbers, F.col("block") == F.col("_block")).drop("_block"), "lm-numbers")
+    discard(block_rows)
+
+    def send(row: dict) -> Iterator[pa.Table]:
+        for bucket, data in sent(shared.value, buckets, row):
+            yield pa.table([pa.array([bucket]), pa.array([row["block"]]), pa.array([data])], names=["bucket", "block", "data"])
 
     def count(t: pa.Table) -> pa.Table:
-        return pa.concat_tables(counted(shared.value, buckets, t.drop_columns("bucket"), keep_model))
+        return pa.concat_tables(counted(shared.value, buckets, t, keep_model))
 
-    parts = materialise(full.mapInArrow(send, PART + ", bucket long").groupBy("bucket").applyInArrow(count, PART), "lm-parts")
-    ids = materialise(block_rows.select("block", "ids", "train"), "lm-ids")
-    discard(block_rows)
-    discard(told)
-    n = np.zeros(TOP + 2)
-    for r in parts.where(F.col("kind") == COUNTS).select("x").toLocalIterator():  # one row a bucket
-        n[1:] += r["x"]
-    d = discounts(list(n))
+    pairs = by_row(numbers.select("block", "train", "lengths", "tokens"), send, "bucket long, block long, data binary")
+    parts = materialise(pairs.groupBy("bucket").applyInArrow(count, PART_SCHEMA), "lm-parts")
+    sums = parts.where(F.col("kind") == COUNTS).agg(*(F.coalesce(F.sum(F.col("x")[k]), F.lit(0)) for k in range(TOP + 1))).first()
+    d = discounts([0.0, *map(float, sums)])
     held = sum((F.sum(F.col("x")[k - 1]) * float(k * (1 - d[k])) for k in range(1, TOP + 1)), F.lit(1.0))
     alpha = (held / (F.max("n") + 1.0)) / (1.0 - F.sum("s"))
     weights = parts.where(F.col("kind") == HISTORY).groupBy("h").agg(F.log10(alpha).alias("log_alpha"))
-    return Model(words, parts, weights, ids, uni, d)
+    return Model(words, parts, weights, numbers, uni, d, buckets)
+
+
+def bigrams(model: Model) -> DataFrame:
+    """(bucket, h, w, c): the model's bigram counts as a plain table. h and w are numbers of words; the start mark is V + 1."""
+
+    def unpack(row: dict) -> Iterator[pa.Table]:
+        x = unsqueezed(row["data"], 4)
+        yield pa.table([pa.array(np.full(x.shape[1], row["bucket"])), pa.array(np.cumsum(x[0])), pa.array(x[1]), pa.array(narrow(x[2:]))], names=["bucket", "h", "w", "c"])
+
+    return by_row(model.parts.where(F.col("kind") == MODEL).select("bucket", "data"), unpack, "bucket long, h long, w long, c long")
 
 
 def scored(model: Model) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
-    log_d = np.log10(model.d[1:])
-
-    def add(t: pa.Table) -> pa.Table:
-        kinds, data = t.column("kind").to_pylist(), t.column("data").to_pylist()
-        docs = np.frombuffer(data[kinds.index(DOCS)], "<f8").reshape(4, -1)
-        score = docs[3].copy()
-        for k, x in zip(kinds, data, strict=True):
-            if k == SUMS:
-                planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(8, -1)
-                f = np.ascontiguousarray(planes.T).view("<f8").reshape(2 + TOP, -1)
-                score[f[0].astype(np.int64)] += f[1] + log_d @ f[2:]
-        n = docs.shape[1]
-        return pa.table(
-            [pa.array(np.full(n, t.column("block")[0].as_py(), np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(docs[0].astype(np.int64)),
-             pa.array(docs[1].astype(np.int64)), pa.array(docs[2]), pa.array(score)], names=["block", "doc", "n_tokens", "n_known", "base_score", "s"],
-        )
-
-    sums = model.parts.where(F.col("kind").isin(DOCS, SUMS)).select("block", "kind", "data")
-    sums = sums.groupBy("block").applyInArrow(add, "block long, doc int, n_tokens long, n_known long, base_score double, s double")
-    back = model.parts.where(F.col("kind") == BACK).select("h", "block", "doc", "n").join(model.weights, "h", "left")
+    shared = model.blocks.sparkSession.sparkContext.broadcast((model.uni, model.buckets, model.d))
+    totals = model.parts.where(F.col("kind") == TOTALS).groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("totals"))
+    rows = model.blocks.select("block", "lengths", "tokens").join(totals, "block", "left")
+    every = materialise(by_row(rows, lambda row: judged(*shared.value, row), SCORED_SCHEMA), "lm-scored")
+    back = every.where(F.col("kind") == BACK).select("h", "block", "doc", "n").join(model.weights, "h", "left")
     # A history without seen words has given all its mass away: the start mark of a corpus without training texts.
     back = back.groupBy("block", "doc").agg(F.sum(F.col("n") * F.coalesce("log_alpha", F.lit(0.0))).alias("b"))
+    sums = every.where(F.col("kind") == SCORE).select("block", "doc", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.col("base").alias("base_score"), "s")
     ids = model.blocks.select("block", F.posexplode(F.arrays_zip("ids", "train")).alias("doc", "e"))
     out = ids.join(sums, ["block", "doc"]).join(back, ["block", "doc"], "left")
     return out.select(
