@@ -128,6 +128,25 @@ def test_lm_against_brute_force_and_normalised(spark):
         assert (got[k].n_tokens, got[k].n_known, got[k].held_out) == (len(words), sum(w in uni for w in words), k not in train)
 
 
+def test_lm_sends_a_bigram_once_a_block_and_counts_beyond_32_bits():
+    uni = lm.Unigrams(np.array([900, 100]), np.array([1, 2]), docs=2)  # words 0 and 1; 3 is the start mark
+    words = [np.array([0] * 450 + [1]), np.array([0] * 450 + [1] * 49)]
+    row = {"lengths": [len(x) for x in words], "train": [True, False], "tokens": lm.squeezed(np.concatenate(words))}
+    want, distinct = collections.Counter(), set()
+    for x, train in zip(words, row["train"], strict=True):
+        pairs = list(zip([3, *x.tolist()], x.tolist(), strict=False))
+        distinct.update(pairs)
+        want.update(pairs if train else ())
+    for buckets in (1, 4):
+        got = [tuple(x) for _, data in lm.sent(uni, buckets, row) for h, w, n in [lm.unsqueezed(data, 3)] for x in zip(np.cumsum(h).tolist(), w.tolist(), n.tolist(), strict=True)]
+        assert sorted((h, w) for h, w, _ in got) == sorted(distinct)
+        assert all(n == want[h, w] for h, w, n in got)
+    large = np.array([0, 1, 2**32 - 1, 2**32, 75 * 10**9])
+    assert (lm.narrow(lm.unsqueezed(lm.squeezed(*lm.wide(large)), 2)) == large).all()
+    with pytest.raises(ValueError):  # totals of other bigrams than the block's
+        lm.judged(uni, 1, np.ones(lm.TOP + 1), row | {"block": 0, "totals": []})
+
+
 def brute_classes(docs):
     """The least id of each class, from the similarities of all pairs."""
     sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := low(t).encode().split()) else set() for k, t in docs}
