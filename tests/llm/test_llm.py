@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -347,6 +348,20 @@ def test_decontamination_against_brute_force(spark, block):
         assert (got[k].n_words, got[k].n_hit, got[k].items) == (len(w), len(hit), sorted(map(str, found)))
 
 
+def test_shards_are_written_and_read_a_few_at_a_time(spark, monkeypatch):
+    """A task's memory does not grow with its shards: Parquet's writer holds a row group, its reader a row group's rows."""
+    monkeypatch.setattr(decontam, "SHARD_BYTES", 1 << 20)
+    monkeypatch.setattr(common, "BATCH_ROWS", 1)  # a text is a shard
+    words = F.expr("concat_ws(' ', transform(sequence(1, 300000), i -> cast(pmod(xxhash64(id, i), 1000) as string)))")
+    stored = decontam.shards(spark.range(0, 24, 1, 1).select(F.col("id").alias("doc_id"), words.alias("text")), "doc_id")
+    groups = []
+    for path in stored.inputFiles():
+        meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+        groups += [meta.row_group(k) for k in range(meta.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 24
+    assert max(sum(g.column(k).total_compressed_size for k in range(g.num_columns)) for g in groups) < 18 << 20
+
+
 def test_decontamination_stage_removes_every_leak(spark):
     docs = table(spark, SF, "documents")
     items = {r.doc_id: r.n_items for r in decontam.op9(spark, docs, table(spark, SF, "benchmark")).collect()}

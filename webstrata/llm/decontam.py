@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.llm.common import bundled, by_block, picked, ragged, texts_of, unbundled
-from webstrata.sources.tables import materialise, table
+from webstrata.sources.tables import LARGE_ROWS, materialise, table
 
 WINDOW = 8
 #: A document with windows of so many items is contaminated.
@@ -219,7 +219,8 @@ def shards(docs: DataFrame, keep: str) -> DataFrame:
         packed = [pa.array([np.ascontiguousarray(x, "<i4").tobytes()], pa.binary()) for x in (s.sizes, s.tokens, s.order)]
         return pa.table([ids, packed[0], pa.array([s.words], pa.list_(pa.binary())), *packed[1:]], names=["ids", "sizes", "words", "tokens", "suffixes"])
 
-    return materialise(by_block(picked(docs, keep, "text"), run, f"ids array<{kind}>, sizes binary, words array<binary>, tokens binary, suffixes binary", size=SHARD_BYTES), "suffix-arrays")
+    schema = f"ids array<{kind}>, sizes binary, words array<binary>, tokens binary, suffixes binary"
+    return materialise(by_block(picked(docs, keep, "text"), run, schema, size=SHARD_BYTES), "suffix-arrays", options=LARGE_ROWS)
 
 
 def benchmark_blocks(benchmark: DataFrame, size: int = BENCHMARK_BLOCK) -> Iterator[list[tuple]]:

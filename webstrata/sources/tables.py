@@ -35,14 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+#: Parquet for rows of megabytes: sizes are checked at each row, not at each 100 rows, so that writers and readers hold a few rows at once.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
+
+
+def materialise(df: DataFrame, name: str, codec: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:
     """Write a table once to shared storage and read it back: later steps reread it when executors are lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")  # once the table is written, the shuffles behind it have served
     try:
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).options(**(options or {})).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
