@@ -187,6 +187,21 @@ def test_neardup_crowded_buckets(spark):
     assert {r.doc_id: r.class_id for r in neardup.op2(spark, df).collect()} == want
 
 
+def test_few_edges_are_united_without_stored_tables(spark, monkeypatch):
+    """Each stored table makes the executors' file system start processes, so few edges are no reason for a dozen of them."""
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-500, 500, (400, 2))] + [(2000 + k, 2001 + k) for k in range(60)] + [(1 << 62, -(1 << 62)), (7, 7)]
+    edges = spark.createDataFrame(pairs, "x long, y long")
+    least = {n: n for p in pairs for n in p}
+    while any(least[a] != least[b] for a, b in pairs):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {tuple(r) for r in neardup.components_by_joins(edges).collect()} == set(least.items())
+    monkeypatch.setattr(neardup, "materialise", None)
+    got = neardup.components(edges)
+    assert {tuple(r) for r in got.collect()} == set(least.items()) and got.columns == ["node", "class"]
+
+
 def test_neardup_with_repeated_passages(spark):
     """Sets are similar, but one text repeats a passage many times."""
     docs = []

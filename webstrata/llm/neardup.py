@@ -41,6 +41,8 @@ ROWS, BANDS = 6, 40
 SIZE = ROWS * BANDS
 #: Node lists of so many rows (8 bytes each) may be broadcast to filter a scan; longer ones are joined by shuffle.
 BROADCAST_NODES = 1_000_000
+#: So many edges (16 bytes each) may be united on the driver; more are united by rounds of joins.
+DRIVER_EDGES = 250_000
 #: A round compares about so many texts of each group with the others of it, the next one so many times more.
 GROWTH = 8
 #: Bands of a batch: from, to. The first ones unite most near copies, so that later ones have little to compare.
@@ -184,7 +186,29 @@ def looked_up(rows: DataFrame, names: DataFrame, key: str, by: list[str], how: s
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, class): the least node that the edges (x, y) lead to. Labels spread over edges and jump along themselves."""
+    """(node, class): the least node that the edges (x, y) lead to."""
+    if edges.count() > DRIVER_EDGES:
+        return components_by_joins(edges)
+    x, y = (c.to_numpy() for c in edges.select("x", "y").toArrow().columns)
+    node, label = least_reached(x, y)
+    return edges.sparkSession.createDataFrame(pa.table({"node": node, "class": label}))
+
+
+def least_reached(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the edges, and the least one that each leads to."""
+    nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b = at[: len(x)], at[len(x) :]
+    label = np.arange(len(nodes))
+    while len(apart := np.flatnonzero(label[a] != label[b])):
+        u, v = label[a[apart]], label[b[apart]]
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))  # a root hangs below a lesser one
+        while len(np.flatnonzero(label[label] != label)):
+            label = label[label]
+    return nodes, nodes[label]
+
+
+def components_by_joins(edges: DataFrame) -> DataFrame:
+    """The same of any number of edges. Labels spread over edges and jump along themselves."""
     both = materialise(edges.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(edges.select(F.col("y").alias("a"), F.col("x").alias("b"))), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("class")), "labels")
     while True:
