@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import gzip
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from webstrata.functions.rows import row_udf
+
 DEFAULT_TYPE = "text/html; charset=utf-8"
 
 
@@ -53,14 +54,16 @@ def blob_sha(data: Column, bits: int = 160) -> Column:
     return F.sha1(framed) if bits == 160 else F.sha2(framed, bits)
 
 
-@F.pandas_udf(BinaryType())
-def gzip_bytes(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: gzip.compress(t.encode() if isinstance(t, str) else t, 9, mtime=0), na_action="ignore")
+def compressed(text: str | bytes | None) -> bytes | None:
+    return None if text is None else gzip.compress(text.encode() if isinstance(text, str) else text, 9, mtime=0)
+
+
+def decompressed(data: bytes | None) -> bytes | None:
+    return None if data is None else gzip.decompress(data)
 
 
-@F.pandas_udf(BinaryType())
-def gunzip_bytes(data: pd.Series) -> pd.Series:
-    return data.map(lambda t: gzip.decompress(bytes(t)), na_action="ignore")
+gzip_bytes = row_udf(compressed, BinaryType())
+gunzip_bytes = row_udf(decompressed, BinaryType())
 
 
 def commit_message(url: Column, markdown_bytes: Column) -> Column:

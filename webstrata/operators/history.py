@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import difflib
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from webstrata.functions.rows import row_udf
 from webstrata.operators.store import as_of
 
 
@@ -42,12 +42,16 @@ def line_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(StringType())
-def unified_hunks(before: pd.Series, after: pd.Series) -> pd.Series:
-    def one(a: str | None, b: str | None) -> str:
-        return "\n".join(list(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), lineterm="", n=3))[2:])
+def hunks(texts: dict[str, str | None]) -> str:
+    a, b = ((texts[c] or "").splitlines() for c in ("before", "after"))
+    return "\n".join(list(difflib.unified_diff(a, b, lineterm="", n=3))[2:])
 
-    return pd.Series([one(a, b) for a, b in zip(before, after, strict=True)])
+
+_hunks = row_udf(hunks, StringType())
+
+
+def unified_hunks(before: str, after: str) -> Column:
+    return _hunks(F.struct(F.col(before).alias("before"), F.col(after).alias("after")))
 
 
 def diff(captures: DataFrame, md_path: str, newer: int, older: int | None = None) -> DataFrame:
