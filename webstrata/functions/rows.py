@@ -13,13 +13,17 @@ from pyspark.sql.types import DataType
 PART_BYTES = 1 << 20
 
 
+def _size(value: str | bytes | dict | None) -> int:
+    return sum(map(_size, value.values())) if isinstance(value, dict) else len(value or "") + 8
+
+
 def parts(batches: Iterator[pa.Array], f: Callable, kind: pa.DataType, size: int = PART_BYTES) -> Iterator[pa.Array]:
     """f of each value, in arrays of about `size` bytes. Of a batch, only the value at hand and one part's results are Python objects."""
     for batch in batches:
         held, n = [], 0
         for value in batch:
             held.append(f(value.as_py()))
-            n += len(held[-1] or "") + 8
+            n += _size(held[-1])
             if n >= size:
                 yield pa.array(held, kind)
                 held, n = [], 0
@@ -28,7 +32,7 @@ def parts(batches: Iterator[pa.Array], f: Callable, kind: pa.DataType, size: int
 
 
 def row_udf(f: Callable, kind: DataType) -> Callable:
-    """Arrow UDF of a function from one value to text or bytes, both may be None.
+    """Arrow UDF of a function from one value to text or bytes, both may be None; structs of them are dicts.
 
     A worker holds Arrow batches as they come (Spark ends one at spark.sql.execution.arrow.maxBytesPerBatch, 64 MB), but never
     a whole batch as Python objects or as results."""

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructType
 
 from webstrata.functions.extract import outgoing_links, page_assets
-from webstrata.functions.markdown import html_to_markdown
-from webstrata.functions.metadata import blob_sha, commit_message, gzip_bytes, metadata_json, stored_etag
+from webstrata.functions.markdown import html_to_markdown, to_markdown
+from webstrata.functions.metadata import blob_sha, commit_message, compressed, gzip_bytes, metadata_json, stored_etag
+from webstrata.functions.rows import row_udf
 from webstrata.functions.sanitize import sanitize_html
 from webstrata.functions.urls import parse_url, storage_paths
 from webstrata.sources.tables import materialise
@@ -16,13 +18,25 @@ from webstrata.sources.tables import materialise
 BRANCH = "main"
 
 
-def ingest(pages: DataFrame, branch: str = BRANCH, with_gzip: bool = True, with_markdown: bool = True) -> DataFrame:
+def texts(page: dict[str, str | None]) -> dict[str, str | bytes | None]:
+    return {"markdown": to_markdown(page["sanitized"]), "html_gz": compressed(page["html"])}
+
+
+_texts = row_udf(texts, StructType().add("markdown", StringType()).add("html_gz", BinaryType()))
+
+
+def ingest(pages: DataFrame, branch: str = BRANCH, with_gzip: bool = True, with_markdown: bool = True, together: bool = False) -> DataFrame:
     """Captures from pages (url, html, commit_seq, committed_at): paths, clean text, Markdown, links, metadata.
 
-    Text that is no URL is left out. The Markdown UDF runs once, after the native columns."""
+    Text that is no URL is left out. The Markdown UDF runs once, after the native columns. together: one Python worker a task makes
+    Markdown and gzip, for callers that read both; else each has a worker of its own, and one that is not read is not made."""
     p = pages.withColumn("u", parse_url(F.col("url"))).where("u is not null").withColumn("s", storage_paths(F.col("u")))
     p = p.withColumn("sanitized", sanitize_html(F.col("html"))).withColumn("links", outgoing_links(F.col("sanitized"), F.col("u")))
-    p = p.withColumn("markdown", html_to_markdown("sanitized") if with_markdown else F.lit(""))
+    if together and with_gzip and with_markdown:
+        p = p.withColumn("t", _texts(F.struct("sanitized", "html"))).withColumns({"markdown": F.col("t.markdown"), "html_gz": F.col("t.html_gz")})
+    else:
+        p = p.withColumn("markdown", html_to_markdown("sanitized") if with_markdown else F.lit(""))
+        p = p.withColumn("html_gz", gzip_bytes("html") if with_gzip else F.lit(None).cast("binary"))
     md_bytes = F.octet_length("markdown")
     etag = F.coalesce("etag", F.lit("")) if "etag" in pages.columns else None
     meta = metadata_json(F.col("u.normalized_url"), F.col("html"), md_bytes, F.col("committed_at"), etag=etag)
@@ -30,7 +44,7 @@ def ingest(pages: DataFrame, branch: str = BRANCH, with_gzip: bool = True, with_
         F.lit(branch).alias("branch"), "commit_seq", "committed_at", F.col("u.normalized_url").alias("url"),
         F.col("u.host").alias("host"), F.col("s.md_path").alias("md_path"), F.col("s.gz_path").alias("gz_path"),
         F.col("s.json_path").alias("json_path"), F.col("html").alias("raw_html"), "markdown", "links",
-        (gzip_bytes("html") if with_gzip else F.lit(None).cast("binary")).alias("html_gz"), meta.alias("metadata"),
+        "html_gz", meta.alias("metadata"),
         blob_sha(F.col("markdown")).alias("md_sha"), F.octet_length("html").cast("long").alias("raw_bytes"),
         md_bytes.cast("long").alias("markdown_bytes"),
     )
@@ -179,7 +193,7 @@ def archive(spark: SparkSession, root: str, pages: DataFrame, branch: str = BRAN
     known = ref_commit(spark, root, branch)
     if known is not None and "etag" in pages.columns:
         fresh = not_modified(pages, open_store(spark, stored).where(F.col("branch") == branch))
-    batch = materialise(ingest(fresh, branch), "archive")
+    batch = materialise(ingest(fresh, branch, together=True), "archive")
     append_captures(batch, stored)
     commits(batch, message).withColumn("parent", F.coalesce("parent", F.lit(known).cast("long"))).write.mode("append").parquet(f"{root}/commits")
     if asset_data is not None:
